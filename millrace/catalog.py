@@ -401,7 +401,7 @@ def set_intersect(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select("s_nationkey"))
 
 
-@query("SELECT user_id, CAST(epoch(ts) AS BIGINT) // 60 AS minute, count(*) AS n, count(*) > 1 AS over FROM events GROUP BY 1, 2")
+@query("SELECT user_id, epoch_us(ts) // 60000000 AS minute, count(*) AS n, count(*) > 1 AS over FROM events GROUP BY 1, 2")
 def rate_fixed(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", F.floor(F.unix_micros("ts") / 60_000_000).alias("minute")).agg(F.count(F.lit(1)).alias("n")).withColumn("over", F.col("n") > 1)
 
