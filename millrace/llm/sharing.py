@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import Batches, count_shuffles, mapped, stored, tune
@@ -132,6 +132,11 @@ def shards_for(batches: DataFrame, share: float) -> int:
     return max(count_shuffles(batches.sparkSession), int(size * share / SHARD_BYTES) + 1)
 
 
+def answer_size(name: str) -> Column:
+    """Bytes of a row's answers."""
+    return F.aggregate(name, F.lit(0).cast("long"), lambda a, x: a + F.length(x["bits"]) + 24)
+
+
 def answered(batches: DataFrame, keys_of: Callable[[dict], Keys | None], wide: bool, n_shards: int, name: str) -> DataFrame:
     """batch_id, answers: for each batch the bits that its hashes get from each shard. keys_of(row) must give the same for the same row."""
 

@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.shared import ODD, ODD2, doc_columns, hashed, mapped, mixed, spans_of, texts_of, windows
-from millrace.llm.sharing import Keys, answered, packed, shared_flags, shards_for, unpacked
+from millrace.llm.shared import ODD, ODD2, attached, doc_columns, hashed, mapped, mixed, spans_of, texts_of, windows
+from millrace.llm.sharing import Keys, answer_size, answered, packed, shared_flags, shards_for, unpacked
 
 #: The inverse of ODD among the odd numbers modulo 2^64.
 INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
@@ -135,7 +135,7 @@ def drop_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text
         starts = candidates_of(row, p)
         return p.window_keys(starts) if len(starts) else None
 
-    with_phrases = batches.join(phrases, "batch_id", "left")
+    with_phrases = attached(batches, phrases, "batch_id", answer_size("phrases"), "left")
     verified = answered(with_phrases, window_keys, True, n_shards, "windows")
 
     def finish(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -158,5 +158,5 @@ def drop_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text
                 out["kept"] = pa.array(kept, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_pydict(out)
 
-    final = with_phrases.join(verified, "batch_id", "left")
+    final = attached(with_phrases, verified, "batch_id", answer_size("windows"), "left")
     return final.mapInArrow(mapped(finish), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
