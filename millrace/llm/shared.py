@@ -104,6 +104,11 @@ def hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
 
 
+def forget_words() -> None:
+    """Empties this worker's table, for stages that need the memory for something else."""
+    WORDS.clear()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A permutation of 64-bit values that spreads them evenly."""
     x = x ^ (x >> np.uint64(33))
