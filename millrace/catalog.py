@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import metrics as M
 from millrace.functions import text as T
 from millrace.functions import vectors as V
+from millrace.operators import facts as K
 from millrace.operators import graph as G
 from millrace.operators import retrieval as R
 from millrace.operators import sessions as S
@@ -426,3 +428,38 @@ def tumbling(spark, sf_dir):
 @query("WITH g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 3600000000, true) AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(first::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sn FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, sn")
 def session_windows(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.session_window("ts", "1 hour").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+
+
+# ---- facts and measures ----
+
+
+def segment_facts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_mktsegment").alias("value"), F.col("c_custkey").alias("ord"))
+    said = F.expr("CASE ord % 4 WHEN 0 THEN lower(value) || '!' WHEN 1 THEN 'segment ' || value WHEN 2 THEN 'other' ELSE value END")
+    return c.where("ord % 5 <> 0"), c.where("ord % 3 <> 0").select("key", said.alias("value"), F.lit(None).cast("string").alias("source"))
+
+
+FACTS_SQL = """f AS (SELECT c_custkey::VARCHAR AS key, c_mktsegment AS old FROM customer WHERE c_custkey % 5 <> 0),
+d AS (SELECT c_custkey::VARCHAR AS key, CASE c_custkey % 4 WHEN 0 THEN lower(c_mktsegment) || '!' WHEN 1 THEN 'segment ' || c_mktsegment WHEN 2 THEN 'other' ELSE c_mktsegment END AS new FROM customer WHERE c_custkey % 3 <> 0)"""
+
+
+@query(f"""WITH {FACTS_SQL} SELECT key, old, coalesce(new, old) AS value, CASE WHEN new IS NOT NULL AND new IS DISTINCT FROM old THEN 'user' END AS source,
+new IS NOT NULL AND new IS DISTINCT FROM old AS changed FROM f FULL JOIN d USING (key)""")
+def kv_upsert(spark, sf_dir):
+    return K.upserted(*segment_facts(spark, sf_dir))
+
+
+@query(f"""WITH {FACTS_SQL}, j AS (SELECT key, coalesce(old, '') AS old_value, new AS new_value, coalesce(old <> '' AND new = 'other', false) AS clash FROM d LEFT JOIN f USING (key))
+SELECT key, old_value, new_value, CASE WHEN clash THEN 'ask_user' ELSE 'overwrite' END AS strategy, CASE WHEN clash THEN old_value ELSE new_value END AS resolved_value, old_value = '' OR clash AS needs_hitl FROM j""")
+def kv_conflicts(spark, sf_dir):
+    return K.conflicts(*segment_facts(spark, sf_dir))
+
+
+@query("""WITH g AS (SELECT doc_id // 10 AS query_id, list(coalesce(quality, 0) ORDER BY doc_id, coalesce(quality, 0))[1:5] AS r FROM labels GROUP BY 1),
+s AS (SELECT *, list_position(r, 1) AS place, list_sum(list_transform(range(1, len(r) + 1), lambda i: r[i] / log2(i + 1))) AS dcg, list_reverse_sort(r) AS best FROM g)
+SELECT query_id, CASE WHEN place > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit, CASE WHEN place > 0 THEN round(1.0::DOUBLE / place, 6) ELSE 0.0 END::DOUBLE AS mrr,
+CASE WHEN place > 0 THEN round(dcg / list_sum(list_transform(range(1, len(best) + 1), lambda i: best[i] / log2(i + 1))), 6) ELSE 0.0 END::DOUBLE AS ndcg FROM s""")
+def ir_metrics(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").groupBy(F.floor(F.col("doc_id") / 10).alias("query_id")).agg(F.sort_array(F.collect_list(F.struct("doc_id", F.coalesce("quality", F.lit(0)).alias("quality")))).alias("r"))
+    r = F.col("r.quality")
+    return rows.select("query_id", M.hit_at_k(r, 5).alias("hit"), F.round(M.mrr_at_k(r, 5), 6).alias("mrr"), F.round(M.ndcg_at_k(r, 5), 6).alias("ndcg"))
