@@ -46,7 +46,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def attached(df: DataFrame, table: DataFrame, key: str, size: Column, how: str = "inner", limit: int = 16 << 20) -> DataFrame:
+def attached(df: DataFrame, table: DataFrame, key: str | list[str], size: Column, how: str = "inner", limit: int = 16 << 20) -> DataFrame:
     """df joined with a stored table by key. The table is broadcast only if its rows' sizes (size: bytes of a row) add up to limit at
     most, which is counted first; else the join shuffles both."""
     total = table.agg(F.sum(size + 64)).first()[0] or 0
