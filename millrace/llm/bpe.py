@@ -235,24 +235,27 @@ class Encoder:
         for t in texts:
             parts.append(self.cut(t) if self.cut and any(s in t for s in self.special) else [t])
         split = [[self.split(x) if k % 2 == 0 and x else [] for k, x in enumerate(p)] for p in parts]
-        heads = {cs[0] for fragments in split for cs in fragments if cs and cs[0]}
-        seen = {c for fragments in split for cs in fragments for c in cs[1:]}
+        lists = [cs for fragments in split for cs in fragments if cs]
+        firsts = [cs[0] for cs in lists]
+        for cs in lists:
+            del cs[0]
+        heads, seen = set(firsts) - {""}, set().union(*lists)
         missing = seen.difference(self.chunks)
         if len(self.chunks) + len(missing) > CHUNKS:
             self.chunks, missing = {}, seen
         got, first = self.learn(missing, heads)
         self.chunks.update(got)
-        get = self.chunks.__getitem__
+        get, head = self.chunks.__getitem__, iter(firsts)
+        first[""] = b""
         out = []
         for p, fragments in zip(parts, split, strict=True):
             ids = []
             for k, cs in enumerate(fragments):
                 if k % 2:
                     ids.append(self.special[p[k]])
-                elif cs:
-                    if cs[0]:
-                        ids.append(first[cs[0]])
-                    ids.extend(map(get, cs[1:]))
+                elif p[k]:
+                    ids.append(first[next(head)])
+                    ids.extend(map(get, cs))
             out.append(b"".join(ids))
         for c in [c for c in got if len(c) > LONGEST]:
             del self.chunks[c]
