@@ -1,13 +1,18 @@
 """Quality rules with risk-controlled thresholds.
 
 Base rules: fewer than 20 words, or over 30 % of the words in 8-word windows that the text holds twice or more.
-The method adds cutoffs on four scores (high is bad), chosen per stratum from labelled holdouts: a cutoff is admissible if the
-exact one-sided (Clopper-Pearson) upper bound on the share of good documents at or above it is at most `risk`, at confidence
-1 - delta / tests, where tests = strata x scores x cutoffs of the fixed grid (Bonferroni): with probability 1 - delta no cutoff
-of any stratum falsely rejects more than its share. The lowest admissible cutoff that rejects more bad than good labelled documents is used; a score
-without one rejects nothing. `risk` is dealt among the scores, so their union stays within it.
-
-Counts of labelled documents by stratum, score and cutoff are made by Spark over all labels; the driver gets one row for each
+The method adds cutoffs on four scores (high is bad), chosen per stratum from labelled documents. A set of cutoffs is admissible
+if the exact one-sided (Clopper-Pearson) upper bound on the share of good documents that any of them rejects is at most `risk`.
+Sets are tested in a fixed sequence, each step one cutoff of one score lower, all at confidence 1 - delta / strata, up to the
+first that fails; the sequence comes from the bad documents and the quarter of the good ones that take no part in the tests
+(ORDER_SHARE, by hash of doc_id), so no correction is paid for its length, and with probability 1 - delta no stratum rejects
+more than its share of good documents. Each score then uses the lowest cutoff not below the last admissible one that rejects
+more bad than good labelled documents; a score without one rejects nothing.
+
+A stratum needs log(delta / strata) / log(1 - risk) good documents in its tests: 108 for 4 strata, so about 144 labelled good
+ones that pass the base rules. With fewer it gets no cutoff.
+
+Counts of labelled documents by stratum and cutoffs reached are made by Spark over all labels; the driver gets one row for each
 stratum (at most MOST_STRATA; further strata, smallest first, get no cutoffs and so lose no document by the method).
 
 Defined results: null and empty texts have no words and fail the base rules; null strata are the stratum ""; labels without
@@ -38,6 +43,8 @@ GRID = {
     "repeat_share": (0.05, 0.1, 0.15, 0.2, 0.25),
     "long_words": (8.0, 9.0, 10.0, 12.0, 15.0, 20.0),
 }
+#: One in so many good documents puts the sequence of the tests in order; the others are tested.
+ORDER_SHARE = 4
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
 
@@ -138,33 +145,54 @@ def upper_bound(k: int, n: int, alpha: float) -> float:
 
 
 def cutoffs(counts: list[dict], risk: float, delta: float) -> dict[str, dict[str, float]]:
-    """By stratum and score, the cutoff in use. counts: stratum, good, and g_<score>_<i>, b_<score>_<i> of good and bad labelled documents at or above each cutoff."""
-    tests = sum(map(len, GRID.values())) * max(1, len(counts))
+    """By stratum and score, the cutoff in use. counts: stratum, and cells of label, tested (not used for the order), levels (by score,
+    the cutoffs of its grid that are reached) and n, the number of such documents."""
     out: dict[str, dict[str, float]] = {}
     for row in counts:
-        for s in SCORES:
-            for i, c in enumerate(GRID[s]):
-                wrong, right = row[f"g_{s}_{i}"], row[f"b_{s}_{i}"]
-                # P(X <= wrong) at the allowed share within alpha is the same as the upper bound being within that share
-                if right > wrong and tail(wrong, row["good"], risk / len(SCORES)) <= delta / tests:
-                    out.setdefault(row["stratum"], {})[s] = c
-                    break
+        if found := stratum_cutoffs(row["cells"], risk, delta / len(counts)):
+            out[row["stratum"]] = found
     return out
 
 
+def stratum_cutoffs(cells: list, risk: float, alpha: float) -> dict[str, float]:
+    levels = np.array([c["levels"] for c in cells], np.int64)
+    n = np.array([c["n"] for c in cells], np.int64)
+    good, tested = np.array([c["label"] == 1 for c in cells]), np.array([c["tested"] for c in cells])
+    bad, order, test = ~good, good & ~tested, good & tested
+    known = float(n[good].sum()) / max(1, int(n[order].sum()))
+
+    def alone(of: np.ndarray, s: int, i: int) -> int:
+        return int(n[of & (levels[:, s] > i)].sum())
+
+    def joint(of: np.ndarray, at: list[int]) -> int:
+        return int(n[of & (levels > np.array(at)).any(axis=1)].sum())
+
+    grids = [GRID[s] for s in SCORES]
+    # at: by score, the place of its cutoff in the grid, the grid's length for none
+    at = [len(g) for g in grids]
+    lowest = [next((i for i in range(len(g)) if alone(bad, s, i) > known * alone(order, s, i)), len(g)) for s, g in enumerate(grids)]
+    while steps := [at[:s] + [at[s] - 1] + at[s + 1 :] for s in range(len(at)) if at[s] > lowest[s]]:
+        moved = [next(s for s in range(len(at)) if x[s] != at[s]) for x in steps]
+        step = min(zip(steps, moved, strict=True), key=lambda x: (joint(order, x[0]), -alone(bad, x[1], lowest[x[1]]), x[1]))[0]
+        # P(X <= wrong) at the allowed share within alpha is the same as the upper bound being within that share
+        if tail(joint(test, step), int(n[test].sum()), risk) > alpha:
+            break
+        at = step
+    used = [next((i for i in range(at[s], len(g)) if alone(bad, s, i) > alone(good, s, i)), None) for s, g in enumerate(grids)]
+    return {s: GRID[s][i] for s, i in zip(SCORES, used, strict=True) if i is not None}
+
+
 def thresholds(
     docs: DataFrame, labels: DataFrame, risk: float, delta: float, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", label_id_col: str = "doc_id", label_col: str = "quality"
 ) -> dict[str, dict[str, float]]:
     """Cutoffs by stratum from all labelled documents that pass the base rules."""
     marked = labels.select(labels[f"`{label_id_col}`"].cast("long").alias("doc_id"), labels[f"`{label_col}`"].cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     scored = with_features(docs, id_col, text_col, stratum_col).where(~base_failed()).join(marked, "doc_id")
-    for s, column in score_columns().items():
-        scored = scored.withColumn(s, column)
-    sums = [F.count_if(F.col("label") == 1).alias("good")]
-    for s in SCORES:
-        for i, c in enumerate(GRID[s]):
-            sums += [F.count_if((F.col("label") == 1) & (F.col(s) >= c)).alias(f"g_{s}_{i}"), F.count_if((F.col("label") == 0) & (F.col(s) >= c)).alias(f"b_{s}_{i}")]
-    counts = scored.groupBy("stratum").agg(*sums).orderBy(F.desc("good"), "stratum").limit(MOST_STRATA)
+    reached = [sum(((column >= c).cast("int") for c in GRID[s]), F.lit(0)) for s, column in score_columns().items()]
+    tested = F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_SHARE)) > 0
+    cells = scored.groupBy("stratum", "label", tested.alias("tested"), F.array(*reached).alias("levels")).agg(F.count(F.lit(1)).alias("n"))
+    counts = cells.groupBy("stratum").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("good"), F.collect_list(F.struct("label", "tested", "levels", "n")).alias("cells"))
+    counts = counts.orderBy(F.desc("good"), "stratum").limit(MOST_STRATA)
     return cutoffs([r.asDict() for r in counts.collect()], risk, delta)
 
 

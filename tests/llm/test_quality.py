@@ -67,3 +67,35 @@ def test_cutoffs_keep_the_risk(spark):
     assert not any(i % 4 == 0 for i in kept if i < 2900)
     false = sum(1 for i in range(2900) if i % 4 and i not in kept)
     assert false <= 0.04 * 2175
+
+
+def test_strata_of_some_hundred_labels_get_cutoffs(spark):
+    """300 to 500 labels in each of four strata are enough for the symbols; 100 are not. No stratum rejects more good documents than its risk."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for lang, n in (("en", 500), ("de", 400), ("fr", 300), ("es", 100)):
+        for i in range(n):
+            words = ["w" + rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(40)]
+            rows.append((len(rows), " ".join(w + "###" for w in words) if i % 10 == 0 else " ".join(words), lang))
+            labels.append((len(labels), int(i % 10 > 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    cuts = q.thresholds(df, lab, 0.04, 0.05)
+    assert {"en", "de", "fr"} == {k for k, c in cuts.items() if "symbol_share" in c}
+    kept = {r.doc_id for r in q.judged(df, lab).where("kept").collect()}
+    assert kept == {i for (i, _, lang), (_, good) in zip(rows, labels, strict=True) if good or lang == "es"} == {r.doc_id for r in q.filtered(df, lab).collect()}
+
+
+def cell(label, tested, levels, n):
+    return {"label": label, "tested": tested, "levels": levels, "n": n}
+
+
+def test_joint_rejection_within_the_whole_risk():
+    """Scores that reject 3 % of the good documents each pass alone, not together; 107 tested good documents are too few, 108 enough."""
+    assert q.cutoffs([{"stratum": "x", "cells": [cell(1, True, [0, 0, 0, 0], 107), cell(0, True, [1, 0, 0, 0], 9)]}] * 4, 0.04, 0.05) == {}
+    assert q.cutoffs([{"stratum": "x", "cells": [cell(1, True, [0, 0, 0, 0], 108), cell(0, True, [1, 0, 0, 0], 9)]}] * 4, 0.04, 0.05) == {"x": {"symbol_share": 0.02}}
+    cells = [cell(1, tested, levels, n * (3 if tested else 1)) for tested in (True, False) for levels, n in (([0, 0, 0, 0], 940), ([7, 0, 0, 0], 30), ([0, 0, 0, 6], 30))]
+    for levels in ([7, 0, 0, 0], [0, 0, 0, 6]):
+        alone = [c for c in cells if c["levels"] in ([0, 0, 0, 0], levels)] + [cell(0, True, levels, 500)]
+        assert len(q.stratum_cutoffs(alone, 0.04, 0.05)) == 1
+    assert len(q.stratum_cutoffs(cells + [cell(0, True, [7, 0, 0, 0], 500), cell(0, True, [0, 0, 0, 6], 400)], 0.04, 0.05)) == 1
