@@ -53,7 +53,7 @@ def host_rule(verdict: str, text: str) -> Rule:
     host, slash, rest = text.partition("/")
     path = slash + rest
     body = TOKEN.findall(lowered(host)) + [m[0] for m in re.finditer("[A-Za-z0-9]+", path) if m.end() < len(path)]
-    return Rule(text, verdict, rf"(?s)^.*?://(?:[^/?#]*\.)?{re.escape(lowered(host))}(?=[/?#]|$)(?={re.escape(path)})", tuple(map(lowered, body)), True)
+    return Rule(text, verdict, rf"(?s)^://(?:[^/?#]*\.)?{re.escape(lowered(host))}(?=[/?#]|\Z)(?={re.escape(path)})", tuple(map(lowered, body)), True)
 
 
 def pattern_rule(verdict: str, literal: str) -> Rule:

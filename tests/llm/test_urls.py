@@ -47,3 +47,13 @@ def test_filed_under_the_rarest_token():
     index = u.RuleIndex(list(enumerate(RULES)), {"example": 100, "net": 5, "en": 70, "com": 50, "de": 9})
     assert 1 in index.by_token["net"] and 2 in index.by_token["de"] and 4 in index.by_token["farm"]
     assert index.always == [5, 6]
+
+
+def test_host_rules_see_the_first_host_only(spark):
+    """Archive, proxy and redirect URLs hold another one in their path."""
+    urls = ["https://web.archive.org/web/2020/http://foo.net/x", "https://proxy.com/http://a.example.com/de/x", "https://go.org/fr/http://foo.net/", "http://foo.net/http://b.org/fr/1", "x://y/://net/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in u.judge_urls(df, RULES).collect()}
+    assert [got[i] for i in range(len(urls))] == [brute(x) for x in urls]
+    assert [got[i][2] for i in range(len(urls))] == [None, None, "org/fr/", "net/", None]
+    assert u.RuleIndex([(0, u.host_rule("block", "foo.net"))], {}).matching("http://foo.net\n", "foo.net\n", "") == []
