@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +46,26 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, max_depth: int = 5) -> Da
     return paths
 
 
-def lineage_roots(rows: DataFrame, max_depth: int = 16) -> DataFrame:
-    """id, root for rows(id, parent): pointers doubled log2(max_depth) times; a cycle gives the id itself."""
-    at = rows.select("id", F.coalesce("parent", "id").alias("root"))
-    for _ in range(max(1, (max_depth - 1).bit_length())):
-        up = at.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        at = at.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+def lineage_roots(rows: DataFrame) -> DataFrame:
+    """id, root for rows(id, parent), at any depth; a cycle or a parent that is not there gives the id itself. Pointers double until no
+    further row is settled, about log2 of the longest chain rounds; each is written to the shared folder, which cuts the lineage."""
+    at = written(rows.select("id", F.coalesce("parent", "id").alias("root"), F.coalesce(F.col("parent") != F.col("id"), F.lit(False)).alias("open")))
+    n_open = at.where("open").count()
+    while n_open:
+        up = at.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("open").alias("next_open"))
+        at = written(at.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), (F.col("open") & F.coalesce("next_open", F.lit(False))).alias("open")))
+        before, n_open = n_open, at.where("open").count()
+        # every round settles the next depths, so where none is left the open rows are those of cycles and below them
+        if n_open >= before:
+            break
     top = rows.where("parent is null or parent = id").select(F.col("id").alias("root"), F.lit(True).alias("is_top"))
-    return at.join(top, "root", "left").select("id", F.when(F.col("is_top"), F.col("root")).otherwise(F.col("id")).alias("root"))
+    return at.join(top, "root", "left").select("id", F.when(F.col("is_top") & ~F.col("open"), F.col("root")).otherwise(F.col("id")).alias("root"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the folder that driver and executors share (spark.checkpoint.dir, a temporary one only if that is unset) and read again."""
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints/millrace"
+    path = f"{where}/millrace/lineage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

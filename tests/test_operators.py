@@ -47,3 +47,17 @@ def test_graph(spark):
     assert {r.dst: r.path for r in G.shortest_paths(e, seed, 5).collect()}["d"] == ["a", "b", "c", "d"]
     t = spark.createDataFrame([(1, None), (2, 1), (3, 2), (8, 9), (9, 8)], "id int, parent int")
     assert {r.id: r.root for r in G.lineage_roots(t).collect()} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 9}
+
+
+def test_lineage_of_any_depth(spark):
+    """Chains of 17, 40 and 100 parents, a cycle of 20 rows with a tail of 3 rows, a row of its own parent, and a parent that is not there."""
+    parents, want = {}, {}
+    for start, n in ((1000, 17), (2000, 40), (3000, 100)):
+        parents |= {start: None} | {start + i: start + i - 1 for i in range(1, n + 1)}
+        want |= dict.fromkeys(range(start, start + n + 1), start)
+    parents |= {4000 + i: 4000 + (i + 1) % 20 for i in range(20)} | {4020: 4000, 4021: 4020, 4022: 4021}
+    parents |= {5000: 5000, 5001: 5000, 6001: 6000, 6002: 6001}
+    want |= {i: i for i in parents if i >= 4000} | {5001: 5000}
+    t = spark.createDataFrame(list(parents.items()), "id int, parent int")
+    assert {r.id: r.root for r in G.lineage_roots(t).collect()} == want
+    assert G.lineage_roots(t.limit(0)).count() == 0
