@@ -154,6 +154,13 @@ def minhash_signature(spark, sf_dir):
     return b.select("item_id", F.md5(F.array_join(V.minhash(V.shingles(T.run_tokens(F.col("text")))), ",")).alias("signature"))
 
 
+@query()
+def minhash_documents(spark, sf_dir):
+    """Signatures of all documents; 64 zeros without tokens. SQL is too slow over them: tests/test_operators.py has brute force."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(F.array_join(V.minhash(F.array_distinct(V.shingles(T.run_tokens(F.coalesce("text", F.lit("")))))), ",")).alias("signature"))
+
+
 @query("""
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score,
   round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings""")

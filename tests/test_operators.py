@@ -1,5 +1,9 @@
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
+from millrace import catalog
 from millrace.operators import graph as G
 from millrace.operators import retrieval as R
 from millrace.operators import sessions as S
@@ -61,3 +65,17 @@ def test_lineage_of_any_depth(spark):
     t = spark.createDataFrame(list(parents.items()), "id int, parent int")
     assert {r.id: r.root for r in G.lineage_roots(t).collect()} == want
     assert G.lineage_roots(t.limit(0)).count() == 0
+
+
+def test_minhash_of_all_documents(spark, tmp_path):
+    texts = [None, "", " .,;", "one", "one two", "Copy of a text", "Copy of a text", "漢字 and Latin a1", "a b c " * 40]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(text):
+        w = re.findall("[\u4e00-\u9fff]+|[A-Za-z0-9]+", text or "")
+        parts = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or w
+        least = [min((hashlib.sha256(f"{s}:{x}".encode()).hexdigest()[:16] for x in parts), default="0" * 16) for s in range(64)]
+        return hashlib.md5(",".join(least).encode()).hexdigest()
+
+    got = {r.doc_id: r.signature for r in catalog.queries()["minhash_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
