@@ -261,6 +261,28 @@ def min_score_keep(spark, sf_dir):
     return R.keep_min_score(R.vector_scores(table(spark, sf_dir, "embeddings"), vec_queries(spark, sf_dir)), 0.55, 2).select("query_id", "id", "score", "rank")
 
 
+@query()
+def hybrid_topk(spark, sf_dir):
+    """BM25 over documents and vectors over embeddings, both for the ids divisible by 100; doc_id and vec_id are one id space."""
+    return R.hybrid(table(spark, sf_dir, "documents"), bench_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), vec_queries(spark, sf_dir)).select("query_id", "id", "score", "rank")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src1'")
+def tag_filter(spark, sf_dir):
+    return R.tag_filter(table(spark, sf_dir, "documents").withColumn("tags", F.array("lang", "source")), "tags", ["en", "src1"], match_all=True).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IS NULL OR doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) OR NOT EXISTS (SELECT 1 FROM labels WHERE quality = 1)")
+def acl_filter(spark, sf_dir):
+    return R.acl_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")).select("doc_id")
+
+
+@query()
+def entity_edges(spark, sf_dir):
+    """doc_id, entity: up to 20 of a document, in order of appearance."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(G.entities(F.coalesce("text", F.lit("")))).alias("entity"))
+
+
 @query(f"SELECT event_id, CASE WHEN epoch_us({NOW}) < epoch_us(ts) THEN 1.0 ELSE round(pow(0.5, (epoch_us({NOW}) - epoch_us(ts)) / 86400000000.0 / 90), 4) END::DOUBLE AS decay FROM events")
 def time_decay(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", R.time_decay(F.lit(None), F.col("ts"), F.expr(NOW)).alias("decay"))

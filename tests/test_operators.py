@@ -79,3 +79,16 @@ def test_minhash_of_all_documents(spark, tmp_path):
 
     got = {r.doc_id: r.signature for r in catalog.queries()["minhash_documents"](spark, str(tmp_path)).collect()}
     assert got == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_queries_of_filters_hybrid_and_entities(spark, tmp_path):
+    docs = [(0, "AB-12 and AB-12, XY99", "en", "src1"), (100, "red fox", "en", "src2"), (2, None, "de", "src1"), (3, "red", "en", "src1")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1), (2, 1), (3, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(100, "fox")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(100, [1.0, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = {n: catalog.queries()[n](spark, str(tmp_path)).collect() for n in ("tag_filter", "acl_filter", "entity_edges", "hybrid_topk")}
+    assert sorted(r.doc_id for r in rows["tag_filter"]) == [0, 3]
+    assert sorted(r.doc_id for r in rows["acl_filter"]) == [0, 2]
+    assert sorted(map(tuple, rows["entity_edges"])) == [(0, "AB-12"), (0, "XY99")]
+    assert min((r.rank, r.id) for r in rows["hybrid_topk"]) == (1, 100)
