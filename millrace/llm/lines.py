@@ -157,11 +157,10 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
 
 def without_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """The rows of docs with the text that drop_lines() leaves, and its length in length_col if that is a column; a row that loses all
-    its text goes, one that had none stays."""
+    its text stays with an empty one."""
     names = docs.columns
     rows = docs.select(F.struct(*[docs[f"`{n}`"] for n in names]).alias("row"), docs[f"`{text_col}`"].cast("string").alias("text"))
     out = probed(rows, min_docs, min_chars, "row", docs.select(F.struct(*[docs[f"`{n}`"] for n in names]).alias("row")).schema["row"].dataType.simpleString(), True)
-    out = out.where("n_dropped = 0 or kept <> ''")
 
     def column(n: str):
         if n == text_col:

@@ -45,3 +45,10 @@ def test_perfect_hash():
         assert x.count(hi, lo).tolist() == list(range(1, 5001))
         assert not x.count(lo, hi).any()
         assert len(x.fingerprints) == 5000
+
+
+def test_emptied_rows_stay(spark):
+    """Exact copies whose lines are all frequent lose their text, not their rows."""
+    df = spark.createDataFrame([(i, "Same line\nother line", 20) for i in range(12)] + [(12, "Same line\nown", 13), (13, "", 0), (14, None, None)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in lines.without_lines(df, min_docs=10, length_col="n_chars").collect()}
+    assert got == {i: ("", 0) for i in range(12)} | {12: ("own", 3), 13: ("", 0), 14: (None, None)}
