@@ -15,19 +15,25 @@ import gc
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from millrace.llm.shared import doc_columns, mapped, slices, tune
+from millrace.llm.shared import doc_columns, kept, mapped, slices, tune
 
-#: Blank-separated chunks whose ids a worker keeps, and the longest kept: a bound on memory. A full table is emptied.
-CHUNKS, LONGEST = 1_200_000, 64
+#: Bytes of the table of units and ids that a worker keeps, about: a bound on memory. A full table is emptied.
+TABLE_BYTES = 80 << 20
+#: Marks that end a chunk and are a piece of their own after a letter.
+ENDS = tuple(".,:;!?|)")
+#: Characters of a text that are worked on at once, about; longer texts are cut where no piece is.
+SEGMENT = 1 << 20
 #: Symbols by class that one block of trees holds, so that a block stays within some tens of MB.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 NONE = np.int64(2**62)
 
 
@@ -189,92 +195,186 @@ def by_forest(v: Vocabulary, pieces: list[bytes]) -> list[bytes]:
     return out
 
 
+class Places(dict):
+    """Place of each unit in the table of ids; a unit not met before gets the next place and waits in `fresh` for its ids."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list = []
+        self.size = 0
+
+    def __missing__(self, unit) -> int:
+        place = self[unit] = len(self)
+        self.fresh.append(unit)
+        return place
+
+
+def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places first[0], ..., first[0] + count[0] - 1, first[1], ..."""
+    ends = np.cumsum(count)
+    where = np.repeat(first - ends + count, count)
+    where += np.arange(len(where))
+    return where
+
+
 class Encoder:
-    """Whole texts to packed ids. Texts are cut where a blank stands before a non-blank, which no pre-split piece crosses; the ids of
-    chunks seen are kept in a table of bounded size. encode(pieces) encodes what the table lacks."""
+    """Whole texts to packed ids. Texts are cut into units where a blank stands before a non-blank, which no pre-split piece crosses. A unit
+    is a string (a chunk that a blank precedes), a tuple of one string (a chunk that none does) or the id of a special token. The ids of
+    units met are kept in a table of TABLE_BYTES at most, which is emptied when full; encode(pieces), which gives the ids of all pieces
+    joined and the number for each, encodes what it lacks."""
 
-    def __init__(self, pattern: str, special: dict[str, int], size: int, encode: Callable[[list[str]], list[bytes]]):
+    def __init__(self, pattern: str, special: dict[str, int], size: int, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.find = regex.compile(pattern).findall
-        self.special = {k: id_type(size).type(i).tobytes() for k, i in special.items()}
+        self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
         self.encode, self.kind = encode, id_type(size)
-        self.chunks: dict[str, bytes] = {}  # by chunk without the blank that precedes it
         self.odd_blank = re.compile(r" (?:\s|$)").search
         self.at_word = re.compile(r" (?=\S)").split
-
-    def split(self, text: str) -> list[str]:
-        """Chunks; a blank stands before all but the first and is left out."""
-        return self.at_word(text) if self.odd_blank(text) else text.split(" ")
-
-    def learn(self, chunks: set[str], heads: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """Ids of chunks (that a blank precedes) and of heads (that none does)."""
-        known, plain, rest = self.chunks, [], {}
-        for c in chunks:
-            if c.isalpha():
-                plain.append(c)
-            elif c[:-1].isalpha() and c[-1] in ".,:;!?|)":
-                rest[c] = (" " + c[:-1], c[-1])
+        self.next_word = re.compile(r" (?=\S)").search
+        self.clear()
+
+    def clear(self) -> None:
+        self.places = Places()
+        ids = list(self.special.values())
+        for i in ids:
+            self.places[i]
+        self.places.fresh = []
+        self.flat, self.first, self.count = np.array(ids, self.kind), np.arange(len(ids), dtype=np.int64), np.ones(len(ids), np.int64)
+
+    def units(self, text: str) -> Iterator[list]:
+        """Lists of units, in order; long texts give several."""
+        parts = self.cut(text) if self.cut and any(s in text for s in self.special) else [text]
+        for k, part in enumerate(parts):
+            if k % 2:
+                yield [self.special[part]]
+                continue
+            begin, first = 0, True
+            while begin < len(part):
+                end = len(part)
+                if end - begin > SEGMENT and (m := self.next_word(part, begin + SEGMENT)):
+                    end = m.start()
+                piece = part[begin:end]
+                found = self.at_word(piece) if self.odd_blank(piece) else piece.split(" ")
+                if first:
+                    found[0] = (found[0],)
+                yield found
+                begin, first = end + 1, False
+
+    def learn(self) -> None:
+        """Ids of the fresh units: words by encode(), the others by the pieces that they consist of, some of which are known or words."""
+        places, fresh, known = self.places, self.places.fresh, len(self.first)
+        is_word = [type(c) is str and c.isalpha() for c in fresh]
+        words = [" " + c for c, w in zip(fresh, is_word, strict=True) if w]
+        refs: list[int] = []
+        sizes: list[int] = []
+        extra: dict[str, int] = {}
+        get, at = places.get, known + len(fresh)
+
+        def ref(p: str) -> int:
+            if p[0] == " ":
+                b = get(p[1:], -1)
+                if 0 <= b < known or (b >= known and is_word[b - known]):
+                    return b
+            return at + extra.setdefault(p, len(extra))
+
+        for c, w in zip(fresh, is_word, strict=True):
+            if w:
+                continue
+            if type(c) is tuple:
+                found = self.find(c[0])
+            elif c[-1:] in ENDS and c[:-1].isalpha():
+                found = (" " + c[:-1], c[-1])
             else:
-                rest[c] = self.find(" " + c)
-        first = {h: self.find(h) for h in heads}
-        new = {p for ps in (*rest.values(), *first.values()) for p in ps if not (p[0] == " " and p[1:] in known)}
-        new.update([" " + c for c in plain])
-        order = list(new)
-        fresh = dict(zip(order, self.encode(order), strict=True))
-        get = lambda p: fresh[p] if p in fresh else known[p[1:]]
-        out = {c: fresh[" " + c] for c in plain}
-        for p, ids in fresh.items():
-            if p[0] == " " and p[1:].isalpha():
-                out[p[1:]] = ids
-        for c, ps in rest.items():
-            out[c] = b"".join([get(p) for p in ps])
-        return out, {h: b"".join([get(p) for p in ps]) for h, ps in first.items()}
+                found = self.find(" " + c)
+            refs.extend(map(ref, found))
+            sizes.append(len(found))
+        places.fresh = []
+        places.size += 130 * len(fresh) + sum(map(len, words))
+        ids, n = self.encode([*words, *extra])
+        firsts = len(self.flat) + np.cumsum(n) - n
+        of_words = int(n[: len(words)].sum())
+        is_word = np.array(is_word, bool)
+        first, count = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        first[is_word], count[is_word] = firsts[: len(words)], n[: len(words)]
+        ref_at = np.array(refs, np.int64)
+        ref_count = np.concatenate([self.count, count, n[len(words) :]])[ref_at]
+        ref_first = np.concatenate([self.first, first, firsts[len(words) :]])[ref_at]
+        joined = np.append(self.flat, ids)[ragged(ref_first, ref_count)]
+        sums = np.append(0, np.cumsum(ref_count))
+        ends = np.cumsum(np.array(sizes, np.int64))
+        rest = np.flatnonzero(~is_word)
+        if len(rest):
+            begins = np.append(0, ends[:-1])
+            first[rest], count[rest] = len(self.flat) + of_words + sums[begins], sums[ends] - sums[begins]
+        self.first, self.count = np.append(self.first, first), np.append(self.count, count)
+        self.flat = np.concatenate([self.flat, ids[:of_words], joined])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str]] = []  # fragments between special tokens, in turn with these
-        for t in texts:
-            parts.append(self.cut(t) if self.cut and any(s in t for s in self.special) else [t])
-        split = [[self.split(x) if k % 2 == 0 and x else [] for k, x in enumerate(p)] for p in parts]
-        lists = [cs for fragments in split for cs in fragments if cs]
-        firsts = [cs[0] for cs in lists]
-        for cs in lists:
-            del cs[0]
-        heads, seen = set(firsts) - {""}, set().union(*lists)
-        missing = seen.difference(self.chunks)
-        if len(self.chunks) + len(missing) > CHUNKS:
-            self.chunks, missing = {}, seen
-        got, first = self.learn(missing, heads)
-        self.chunks.update(got)
-        get, head = self.chunks.__getitem__, iter(firsts)
-        first[""] = b""
-        out = []
-        for p, fragments in zip(parts, split, strict=True):
-            ids = []
-            for k, cs in enumerate(fragments):
-                if k % 2:
-                    ids.append(self.special[p[k]])
-                elif p[k]:
-                    ids.append(first[next(head)])
-                    ids.extend(map(get, cs))
-            out.append(b"".join(ids))
-        for c in [c for c in got if len(c) > LONGEST]:
-            del self.chunks[c]
-        return out
+        out: list[list[bytes]] = [[] for _ in texts]
+        plain, rows, lists, size = [], [], [], 0
+        for i, t in enumerate(texts):
+            if len(t) <= SEGMENT and not self.odd_blank(t) and not any(s in t for s in self.special):
+                plain.append(i)
+                continue
+            for found in self.units(t):
+                rows.append(i)
+                lists.append(found)
+                size += len(found)
+                if size > SEGMENT // 4:
+                    self.listed(rows, lists, out)
+                    rows, lists, size = [], [], 0
+        if rows:
+            self.listed(rows, lists, out)
+        if plain:
+            # single blanks only: Arrow splits them and finds the distinct chunks
+            split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+            begins = split.offsets.to_numpy()
+            words = split.flatten().dictionary_encode()
+            of = self.placed(words.dictionary.to_pylist(), len(words.dictionary))
+            at = of[words.indices.to_numpy()]
+            heads = [texts[i].split(" ", 1)[0] for i in plain]
+            at[begins[:-1]] = self.placed([(h,) for h in heads], len(heads))
+            self.flush(plain, np.diff(begins), at, out)
+        return [b"".join(x) for x in out]
+
+    def placed(self, units: Iterable, n: int) -> np.ndarray:
+        return np.fromiter(map(self.places.__getitem__, units), np.int64, n)
+
+    def listed(self, rows: list[int], lists: list[list], out: list[list[bytes]]) -> None:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.flush(rows, sizes, self.placed(chain.from_iterable(lists), int(sizes.sum())), out)
+
+    def flush(self, rows: list[int], sizes: np.ndarray, at: np.ndarray, out: list[list[bytes]]) -> None:
+        """Adds to each row's output the ids of its next so many units, which stand at `at` in the table."""
+        if self.places.fresh:
+            self.learn()
+        count = self.count[at]
+        ends = np.cumsum(count)
+        data, wide, begin = self.flat[ragged(self.first[at], count)].tobytes(), self.kind.itemsize, 0
+        for i, end in zip(rows, ends[np.cumsum(sizes) - 1].tolist(), strict=True):
+            out[i].append(data[begin * wide : end * wide])
+            begin = end
+        if self.places.size > TABLE_BYTES:
+            self.clear()
 
 
 #: What splits a text before the merges (the byte-level pattern that the vocabulary files are made for); a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_ENCODERS: dict[str, tuple[Vocabulary, Encoder]] = {}
+
+def joined(parts: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(parts), kind), np.fromiter(map(len, parts), np.int64, len(parts)) // kind.itemsize
 
 
 def encoder(path: str) -> tuple[Vocabulary, Encoder]:
-    """One per worker and file."""
-    if path not in _ENCODERS:
+    """One per worker and file, while the stage lasts."""
+
+    def made() -> tuple[Vocabulary, Encoder]:
         gc.set_threshold(200_000, 50, 100)  # the tables hold no cycles, and walking them is slow
         v = Vocabulary(path)
-        _ENCODERS[path] = v, Encoder(PATTERN, v.special, v.size, lambda ps: by_forest(v, [p.encode() for p in ps]))
-    return _ENCODERS[path]
+        return v, Encoder(PATTERN, v.special, v.size, lambda ps: joined(by_forest(v, [p.encode() for p in ps]), id_type(v.size)))
+
+    return kept(f"bpe {path}", made)
 
 
 def decoded(v: Vocabulary, ids: list[int]) -> str:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import ODD, Batches, count_shuffles, doc_columns, mapped, mixed, slices, stored, table, texts_of, tune
+from millrace.llm.shared import ODD, Batches, begin_task, count_shuffles, doc_columns, grouped, kept, mapped, mixed, slices, stored, table, texts_of, tune
 from millrace.llm.sharing import packed, unpacked
 
 #: Bytes of all shards up to which they are broadcast.
@@ -136,6 +136,7 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     """hi, lo, n: line hashes found in at least min_docs rows of docs(doc_id, text)."""
 
     def count(batches: Batches) -> Batches:
+        begin_task()
         seen: dict[bytes, int] = {}
 
         def sent() -> pa.RecordBatch:
@@ -194,7 +195,7 @@ def probed(rows: DataFrame, min_docs: int, min_chars: int, name_col: str, name_t
         hi, lo = (t.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
         return pa.table({"shard": t.column("shard").slice(0, 1).cast(pa.int32()), "data": pa.array([PerfectHash(hi, lo, t.column("n").to_numpy()).dump()], pa.binary())})
 
-    shards = stored(lines.mapInArrow(mapped(shard), "shard int, hi long, lo long, n long").groupBy("shard").applyInArrow(build, "shard int, data binary"), "shards")
+    shards = stored(lines.mapInArrow(mapped(shard), "shard int, hi long, lo long, n long").groupBy("shard").applyInArrow(grouped(build), "shard int, data binary"), "shards")
     size = shards.agg(F.sum(F.length("data"))).first()[0] or 0
     schema = f"{name_col} {name_type}, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * keep_text
 
@@ -259,7 +260,7 @@ def probed(rows: DataFrame, min_docs: int, min_chars: int, name_col: str, name_t
 
     p = count_shuffles(spark)
     asked = batches.mapInArrow(mapped(emit), "shard int, batch_id long, hashes binary").repartition(p, "shard")
-    answers = asked.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(answer, "batch_id long, found binary")
+    answers = asked.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(grouped(answer), "batch_id long, found binary")
     answers = answers.groupBy("batch_id").agg(F.collect_list("found").alias("found"))
 
     def finish(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -272,15 +273,9 @@ def probed(rows: DataFrame, min_docs: int, min_chars: int, name_col: str, name_t
     return batches.join(answers, "batch_id", "left").mapInArrow(mapped(finish), schema)
 
 
-#: The shards that a worker has loaded, of the last call only.
-_HELD: dict[str, dict[int, PerfectHash]] = {}
-
-
 def held_shards(name: str, sent) -> dict[int, PerfectHash]:
-    if name not in _HELD:
-        _HELD.clear()
-        _HELD[name] = {s: PerfectHash.load(d) for s, d in sent.value.items()}
-    return _HELD[name]
+    """The shards that a worker has loaded, while the stage lasts."""
+    return kept(f"lines {name}", lambda: {s: PerfectHash.load(d) for s, d in sent.value.items()})
 
 
 def looked_up(shards: dict[int, PerfectHash], hi: np.ndarray, lo: np.ndarray, n_shards: int) -> np.ndarray:

@@ -6,8 +6,9 @@ numbers of documents and ids, the documents' ids and lengths, then LANES interle
 table, a checkpoint (all lanes' states and the place in the words) every STEPS steps, and a crc32 of everything before it.
 Blocks decode without each other, and the stretches between a block's checkpoints do too; a damaged block is an error.
 
-The frequency table is counted by Spark over all ids and scaled to 2^bits; it is one row per vocabulary entry on the driver.
-Documents are dealt by ranges of doc_id; only one total per range goes to the driver, to place the ranges one after another.
+The frequency table is counted over all ids (a row of counts by task, added up by Spark) and scaled to 2^bits; it is one row per
+vocabulary entry on the driver. Documents are dealt by ranges of doc_id; what lies before a range is added up in groups of
+GROUP_PARTS ranges, and only the groups' totals go to the driver.
 
 Defined results: null text is empty and has the end id only; null ids come first; equal doc_ids keep their rows, in the order
 of their ids' bytes; a document of any length is one block at least.
@@ -15,33 +16,34 @@ of their ids' bytes; a document of any length is one block at least.
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import PATTERN, Encoder, Vocabulary, byte_letters, id_type
-from millrace.llm.shared import Batches, count_shuffles, doc_columns, mapped, slices, stored, tune
+from millrace.llm.shared import Batches, attached, begin_task, count_shuffles, doc_columns, kept, mapped, slices, stored, tune
 
 LANES, STEPS, BLOCK_IDS = 2048, 256, 1 << 20
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 MARK = b"MRANS\x00\x00\x01"
 
-_LIBRARY: dict[str, tuple[int, Encoder]] = {}
+#: Parts whose totals are added up in one task, so that the driver gets a row for so many parts.
+GROUP_PARTS = 4096
 
 
 def library(path: str) -> tuple[int, Encoder]:
-    """The tokenizers library on the chunks that a worker has not met; one per worker and file."""
-    if path not in _LIBRARY:
-        import gc
+    """The tokenizers library on the chunks that a worker has not met; one per worker and file, while the stage lasts."""
 
+    def made() -> tuple[int, Encoder]:
         from tokenizers import Tokenizer
 
         gc.set_threshold(200_000, 50, 100)
@@ -55,23 +57,36 @@ def library(path: str) -> tuple[int, Encoder]:
         merged = t.model.tokenize
         letters = dict(enumerate(byte_letters()))
 
-        def encode(pieces: list[str]) -> list[bytes]:
+        def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
             """Pieces of a blank and letters below U+0250 are whole for any version of the pre-split, so the library's model gets them
             at once; the library splits the others itself."""
-            out: list[bytes] = [b""] * len(pieces)
-            others = []
+            blank, ids, n, others = letters[32], [], [], []
             for i, p in enumerate(pieces):
-                if p[1:].isalpha() and p[0] == " " and max(p) < "\u0250":
-                    out[i] = array(kind.char, [x.id for x in merged(letters[32] + p[1:] if p.isascii() else p.encode().decode("latin-1").translate(letters))]).tobytes()
-                else:
-                    others.append(i)
-            for i, e in zip(others, t.encode_batch_fast([pieces[i] for i in others], add_special_tokens=False), strict=True):
-                out[i] = array(kind.char, e.ids).tobytes()
-            return out
+                if p[0] == " " and p[1:].isalpha():
+                    if p.isascii():
+                        found = merged(blank + p[1:])
+                    elif max(p) < "\u0250":
+                        found = merged(p.encode().decode("latin-1").translate(letters))
+                    else:
+                        found = None
+                    if found is not None:
+                        n.append(len(found))
+                        ids.extend([x.id for x in found])
+                        continue
+                others.append((i, len(ids)))
+                n.append(0)
+            flat, n = np.array(ids, kind), np.array(n, np.int64)
+            if others:
+                got = [e.ids for e in t.encode_batch_fast([pieces[i] for i, _ in others], add_special_tokens=False)]
+                sizes = np.fromiter(map(len, got), np.int64, len(got))
+                n[[i for i, _ in others]] = sizes
+                flat = np.insert(flat, np.repeat([k for _, k in others], sizes), np.fromiter(chain.from_iterable(got), kind, int(sizes.sum())))
+            return flat, n
 
         special = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
-        _LIBRARY[path] = size, Encoder(PATTERN, special, size, encode)
-    return _LIBRARY[path]
+        return size, Encoder(PATTERN, special, size, encode)
+
+    return kept(f"library {path}", made)
 
 
 class Frequencies:
@@ -178,29 +193,34 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_i
     tune(spark)
     size = Vocabulary(tokenizer).size
 
-    def tokens(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        _, enc = library(tokenizer)
-        end = np.array([end_id], enc.kind).tobytes()
-        texts = [t or "" for t in b.column(1).to_pylist()]
-        for lo, hi in slices(texts):
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(lo, hi - lo), "ids": pa.array([x + end for x in enc(texts[lo:hi])], pa.binary())})
-
     kind = id_type(size)
-    ids = stored(doc_columns(docs, id_col, text_col).mapInArrow(mapped(tokens), "doc_id long, ids binary"), "ids")
 
-    def count(batches: Batches) -> Batches:
+    def tokens(batches: Batches) -> Batches:
+        """Rows with ids; then one row with how often the task has met each id."""
+        begin_task()
         seen = np.zeros(size, np.int64)
         for b in batches:
-            seen += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind), minlength=size)
+            _, enc = library(tokenizer)
+            end = np.array([end_id], enc.kind).tobytes()
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for lo, hi in slices(texts):
+                ids = [x + end for x in enc(texts[lo:hi])]
+                seen += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=size)
+                nothing = pa.nulls(hi - lo, pa.list_(pa.int32())), pa.nulls(hi - lo, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(ids, pa.binary()), *nothing], ["doc_id", "ids", "seen", "times"])
         at = np.nonzero(seen)[0]
-        yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int32()), "n": pa.array(seen[at])})
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "ids": pa.nulls(1, pa.binary()), "seen": pa.array([at], pa.list_(pa.int32())), "times": pa.array([seen[at]], pa.list_(pa.int64()))})
 
-    counts = ids.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").collect()
+    found = stored(doc_columns(docs, id_col, text_col).mapInArrow(tokens, "doc_id long, ids binary, seen array<int>, times array<long>"), "ids")
+    ids = found.where("ids is not null").select("doc_id", "ids")
+    each = found.where("ids is null").select(F.explode(F.arrays_zip("seen", "times")).alias("x"))
+    counts = each.groupBy(F.col("x.seen").alias("id")).agg(F.sum("x.times").alias("n")).orderBy("id").collect()
     model = Frequencies(np.array([r.id for r in counts], np.int64), np.array([r.n for r in counts], np.int64), size)
     total = sum(r.n for r in counts)
     sent = spark.sparkContext.broadcast(model)
 
     def blocks(batches: Batches) -> Batches:
+        begin_task()
         part, k, first = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
         held: list[np.ndarray] = []
@@ -229,21 +249,23 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_i
 def read_back(files: DataFrame, model: Frequencies, keep_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and, on demand, ids, decoded block by block."""
     spark = files.sparkSession
-    totals = files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
-    base, before = 0, {}
-    for r in totals:
-        before[r.part] = base
-        base += r.n
-    sent = spark.sparkContext.broadcast((model, before))
+    own = stored(files.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("in_group", F.floor(F.col("part") / GROUP_PARTS)), "totals")
+    group, start = [], 0
+    for r in own.groupBy("in_group").agg(F.sum("n").alias("n")).orderBy("in_group").collect():
+        group.append((r.in_group, start))
+        start += r.n
+    ahead = F.sum("n").over(Window.partitionBy("in_group").orderBy("part")) - F.col("n")
+    base = own.select("part", "in_group", ahead.alias("ahead")).join(F.broadcast(spark.createDataFrame(group, "in_group long, start long")), "in_group").select("part", (F.col("start") + F.col("ahead")).alias("base"))
+    sent = spark.sparkContext.broadcast(model)
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        model, before = sent.value
+        model = sent.value
         for row in b.to_pylist():
             doc_ids, ids = opened(row["data"], model)
             lengths = np.array([len(x) for x in ids], np.int64)
             out = {
                 "doc_id": pa.array(doc_ids, pa.int64()),
-                "start": pa.array(before[row["part"]] + row["first"] + np.cumsum(lengths) - lengths),
+                "start": pa.array(row["base"] + row["first"] + np.cumsum(lengths) - lengths),
                 "n_tokens": pa.array(lengths),
                 "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
             }
@@ -251,4 +273,4 @@ def read_back(files: DataFrame, model: Frequencies, keep_ids: bool = False) -> D
                 out["ids"] = pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(out)
 
-    return files.mapInArrow(mapped(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    return attached(files, base, "part", F.lit(0)).mapInArrow(mapped(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids)

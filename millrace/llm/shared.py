@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,17 +20,20 @@ Batches = Iterator[pa.RecordBatch]
 
 #: Texts of one Arrow batch are worked on in slices of about so many bytes, so memory does not follow the batch's row count.
 SLICE_BYTES = 2 << 20
-#: Words whose hash a Python worker keeps. A full table is emptied, so memory is bounded.
-WORD_LIMIT = 400_000
+#: Words whose hash a Python worker keeps (some 130 bytes each). A full table is emptied, so memory is bounded.
+WORD_LIMIT = 200_000
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; a temporary one only if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where that is unset and everything runs in one
+    process (local mode, as in tests) a temporary folder takes its place; a cluster without the setting is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.gettempdir()}/checkpoints/millrace"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -35,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 def tune(spark: SparkSession) -> None:
     """Arrow batches of bounded size."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -104,9 +111,32 @@ def hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
 
 
-def forget_words() -> None:
-    """Empties this worker's table, for stages that need the memory for something else."""
+_KEPT: dict[str, Any] = {}
+_STAGE = [-1]
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What this worker keeps under a name from batch to batch and task to task, until a task of another stage begins here."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def begin_task() -> None:
+    """At the start of a task: if the worker last worked for another stage, all its tables go and their memory goes back to the system, so
+    that what stages keep does not add up in a worker that Spark uses for all of them."""
+    task = TaskContext.get()
+    if task is None or task.stageId() == _STAGE[0]:
+        return
+    _STAGE[0] = task.stageId()
+    _KEPT.clear()
     WORDS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library gives memory back by itself
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -152,6 +182,7 @@ def mapped(f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable[
     """f for each Arrow batch that has rows."""
 
     def run(batches: Batches) -> Batches:
+        begin_task()
         for b in batches:
             if b.num_rows:
                 yield from f(b)
@@ -159,6 +190,20 @@ def mapped(f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable[
     return run
 
 
+def grouped(f: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """f for each group, by its Arrow tables (one, or two of a cogroup)."""
+
+    def one(t: pa.Table) -> pa.Table:
+        begin_task()
+        return f(t)
+
+    def two(t: pa.Table, u: pa.Table) -> pa.Table:
+        begin_task()
+        return f(t, u)
+
+    return two if f.__code__.co_argcount == 2 else one
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import Batches, count_shuffles, mapped, stored, tune
+from millrace.llm.shared import Batches, begin_task, count_shuffles, grouped, mapped, stored, tune
 
 #: Bytes of hashes that a shard gets, about.
 SHARD_BYTES = 16 << 20
@@ -31,6 +31,7 @@ def packed(df: DataFrame, weigh: str, name: str) -> DataFrame:
     at = df.columns.index(weigh)
 
     def run(batches: Batches) -> Batches:
+        begin_task()
         compress, part, n = zstandard.ZstdCompressor(level=LEVEL).compress, TaskContext.get().partitionId(), 0
 
         def row(rows: pa.Table) -> pa.RecordBatch:
@@ -113,14 +114,22 @@ def loaded(data: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray | None]:
     return out.reshape(-1).view(np.uint64), None
 
 
+def parts_of(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places) of the shards that occur in an ascending array; the work follows the array, however many shards there are."""
+    begins = np.flatnonzero(np.diff(shard, prepend=-1))
+    for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(shard)], strict=True):
+        yield int(shard[lo]), np.arange(lo, hi)
+
+
 def shared_flags(keys: Keys, answers: list[dict], n_shards: int) -> np.ndarray:
     """For each hash that the batch gave to Keys: does it occur anywhere else."""
     flags = keys.often.copy()
     by_shard = {a["shard"]: a["bits"] for a in answers}
     shard = keys.shards(n_shards)
-    bounds = np.searchsorted(shard, np.arange(n_shards + 1))
-    for s, bits in by_shard.items():
-        at = np.arange(bounds[s], bounds[s + 1])
+    for s, at in parts_of(shard):
+        if s not in by_shard:
+            continue
+        bits = by_shard[s]
         once = at[~keys.often[at]]
         flags[once] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(once)).astype(bool)
     return flags[keys.inverse]
@@ -145,10 +154,8 @@ def answered(batches: DataFrame, keys_of: Callable[[dict], Keys | None], wide: b
             keys = keys_of(row)
             if keys is None or not len(keys.hi):
                 continue
-            bounds = np.searchsorted(keys.shards(n_shards), np.arange(n_shards + 1))
             out: dict[str, list] = {"shard": [], "batch_id": [], "once": [], "hashes": []}
-            for s in np.nonzero(np.diff(bounds))[0].tolist():
-                at = np.arange(bounds[s], bounds[s + 1])
+            for s, at in parts_of(keys.shards(n_shards)):
                 often = keys.often[at]
                 out["shard"].append(s)
                 out["batch_id"].append(row["batch_id"])
@@ -175,5 +182,5 @@ def answered(batches: DataFrame, keys_of: Callable[[dict], Keys | None], wide: b
         return pa.table({"batch_id": pa.array([r["batch_id"] for r in rows], pa.int64()), "shard": pa.array([shard] * len(rows), pa.int32()), "bits": pa.array(bits, pa.binary())})
 
     sent = batches.mapInArrow(mapped(emit), "shard int, batch_id long, once int, hashes binary")
-    bits = sent.groupBy("shard").applyInArrow(resolve, "batch_id long, shard int, bits binary")
+    bits = sent.groupBy("shard").applyInArrow(grouped(resolve), "batch_id long, shard int, bits binary")
     return stored(bits.groupBy("batch_id").agg(F.collect_list(F.struct("shard", "bits")).alias(name)), name)

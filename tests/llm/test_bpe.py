@@ -38,18 +38,37 @@ def test_like_the_library():
             assert decoded(v, ids) == lib.decode(ids, skip_special_tokens=False) == t
 
 
-def test_tables_stay_bounded(monkeypatch):
+def test_tables_stay_bounded_and_long_texts_are_cut(monkeypatch):
     import numpy as np
 
     import millrace.llm.bpe as bpe
 
-    monkeypatch.setattr(bpe, "CHUNKS", 5)
+    monkeypatch.setattr(bpe, "TABLE_BYTES", 2000)
+    monkeypatch.setattr(bpe, "SEGMENT", 7)
     v = bpe.Vocabulary(PATH)
-    enc = bpe.Encoder(bpe.PATTERN, v.special, v.size, lambda ps: bpe.by_forest(v, [p.encode() for p in ps]))
+    enc = bpe.Encoder(bpe.PATTERN, v.special, v.size, lambda ps: bpe.joined(bpe.by_forest(v, [p.encode() for p in ps]), bpe.id_type(v.size)))
     lib = Tokenizer.from_file(PATH)
-    for t in random_texts(40):
-        assert np.frombuffer(enc([t])[0], enc.kind).tolist() == lib.encode(t, add_special_tokens=False).ids
-    assert len(enc.chunks) <= 60
+    for t in [*ODD, *random_texts(200), "one two three  four five\n six <|endoftext|> seven   eight, nine ten" * 9]:
+        assert np.frombuffer(enc([t])[0], enc.kind).tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+        assert enc.places.size <= 2000
+
+
+def test_tables_go_with_their_stage(spark):
+    from millrace.llm import shared
+
+    def f(batches):
+        shared.begin_task()
+        for b in batches:
+            yield b.from_pydict({"n": [sum(k.startswith("old") for k in shared._KEPT)] * b.num_rows})
+
+    def fill(batches):
+        shared.begin_task()
+        for b in batches:
+            shared.kept("old", dict)
+            yield b.from_pydict({"n": [len(shared._KEPT)] * b.num_rows})
+
+    assert spark.range(0, 8, 1, 8).mapInArrow(fill, "n long").agg({"n": "max"}).first()[0] == 1
+    assert spark.range(0, 8, 1, 8).mapInArrow(f, "n long").agg({"n": "max"}).first()[0] == 0
 
 
 def test_spark_rows(spark):
