@@ -12,11 +12,12 @@ more bad than good labelled documents; a score without one rejects nothing.
 A stratum needs log(delta / strata) / log(1 - risk) good documents in its tests: 108 for 4 strata, so about 144 labelled good
 ones that pass the base rules. With fewer it gets no cutoff.
 
-Counts of labelled documents by stratum and cutoffs reached are made by Spark over all labels; the driver gets one row for each
-stratum (at most MOST_STRATA; further strata, smallest first, get no cutoffs and so lose no document by the method).
+Counts of labelled documents by stratum and cutoffs reached are made by Spark over all labels, and each stratum is decided in a task
+of its own group: its cells are bounded by the grid, and strata may be as many as they like. The driver only counts them.
 
 Defined results: null and empty texts have no words and fail the base rules; null strata are the stratum ""; labels without
-a document, null labels and labels other than 0 and 1 do not count; a document labelled both ways counts as good.
+a document, null labels and labels other than 0 and 1 do not count; a document labelled both ways counts as good; labelled rows
+that share a doc_id are one trial, of the least of their strata, which reaches what any of them reaches.
 """
 
 from __future__ import annotations
@@ -29,12 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import hashed, mapped, mixed, slices, spans_of, texts_of, tune, windows
+from millrace.llm.shared import attached, free_name, grouped, hashed, mapped, mixed, numbered, pick, slices, spans_of, stored, texts_of, tune, windows
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-MOST_STRATA = 1000
 #: Scores, and the fixed grid of cutoffs of each.
 SCORES = ("symbol_share", "dup_line_share", "repeat_share", "long_words")
 GRID = {
@@ -144,16 +144,6 @@ def upper_bound(k: int, n: int, alpha: float) -> float:
     return hi
 
 
-def cutoffs(counts: list[dict], risk: float, delta: float) -> dict[str, dict[str, float]]:
-    """By stratum and score, the cutoff in use. counts: stratum, and cells of label, tested (not used for the order), levels (by score,
-    the cutoffs of its grid that are reached) and n, the number of such documents."""
-    out: dict[str, dict[str, float]] = {}
-    for row in counts:
-        if found := stratum_cutoffs(row["cells"], risk, delta / len(counts)):
-            out[row["stratum"]] = found
-    return out
-
-
 def stratum_cutoffs(cells: list, risk: float, alpha: float) -> dict[str, float]:
     levels = np.array([c["levels"] for c in cells], np.int64)
     n = np.array([c["n"] for c in cells], np.int64)
@@ -182,61 +172,72 @@ def stratum_cutoffs(cells: list, risk: float, alpha: float) -> dict[str, float]:
     return {s: GRID[s][i] for s, i in zip(SCORES, used, strict=True) if i is not None}
 
 
-def thresholds(
-    docs: DataFrame, labels: DataFrame, risk: float, delta: float, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", label_id_col: str = "doc_id", label_col: str = "quality"
-) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum from all labelled documents that pass the base rules."""
-    marked = labels.select(labels[f"`{label_id_col}`"].cast("long").alias("doc_id"), labels[f"`{label_col}`"].cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    scored = with_features(docs, id_col, text_col, stratum_col).where(~base_failed()).join(marked, "doc_id")
-    reached = [sum(((column >= c).cast("int") for c in GRID[s]), F.lit(0)) for s, column in score_columns().items()]
+def marked(labels: DataFrame, label_id_col: str, label_col: str) -> DataFrame:
+    rows = labels.select(labels[f"`{label_id_col}`"].cast("long").alias("doc_id"), labels[f"`{label_col}`"].cast("int").alias("label"))
+    return rows.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def cutoffs(scored: DataFrame, marks: DataFrame, risk: float, delta: float) -> DataFrame:
+    """stratum, cuts (by score its cutoff, null for none) from the features of the labelled documents that pass the base rules."""
+    reached = {s: sum(((column >= c).cast("int") for c in GRID[s]), F.lit(0)) for s, column in score_columns().items()}
+    trials = scored.where(~base_failed()).join(marks, "doc_id").groupBy("doc_id", "label").agg(F.min("stratum").alias("stratum"), *(F.max(c).alias(s) for s, c in reached.items()))
     tested = F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_SHARE)) > 0
-    cells = scored.groupBy("stratum", "label", tested.alias("tested"), F.array(*reached).alias("levels")).agg(F.count(F.lit(1)).alias("n"))
-    counts = cells.groupBy("stratum").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("good"), F.collect_list(F.struct("label", "tested", "levels", "n")).alias("cells"))
-    counts = counts.orderBy(F.desc("good"), "stratum").limit(MOST_STRATA)
-    return cutoffs([r.asDict() for r in counts.collect()], risk, delta)
+    cells = stored(trials.groupBy("stratum", "label", tested.alias("tested"), *SCORES).agg(F.count(F.lit(1)).alias("n")), "cells")
+    strata = cells.agg(F.count_distinct("stratum")).first()[0]
+    alpha = delta / max(1, strata)
+
+    def decide(t: pa.Table) -> pa.Table:
+        found = stratum_cutoffs([{"label": r["label"], "tested": r["tested"], "levels": [r[s] for s in SCORES], "n": r["n"]} for r in t.to_pylist()], risk, alpha)
+        return pa.table({"stratum": t.column("stratum").slice(0, 1).cast(pa.string()), "cuts": pa.array([[found.get(s) for s in SCORES]], pa.list_(pa.float64()))})
+
+    return stored(cells.groupBy("stratum").applyInArrow(grouped(decide), "stratum string, cuts array<double>"), "cutoffs")
 
 
 def judged(
     docs: DataFrame, labels: DataFrame, risk: float = 0.04, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", label_id_col: str = "doc_id", label_col: str = "quality"
 ) -> DataFrame:
-    """Per row: doc_id, stratum, the counts, base_failed, rejected_by (the scores at or above their cutoffs), kept."""
-    cuts = thresholds(docs, labels, risk, delta, id_col, text_col, stratum_col, label_id_col, label_col)
-    return verdicts(with_features(docs, id_col, text_col, stratum_col), cuts)
-
-
-def verdicts(rows: DataFrame, cuts: dict[str, dict[str, float]]) -> DataFrame:
-    tests = []
-    for s, column in score_columns().items():
-        pairs = [x for k, c in cuts.items() if s in c for x in (F.lit(k), F.lit(c[s]))]
-        if pairs:
-            tests.append(F.when(column >= F.create_map(*pairs)[F.col("stratum")], F.lit(s)))
-    by = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
-    out = rows.withColumn("base_failed", base_failed()).withColumn("rejected_by", by)
+    """Per row: doc_id, stratum, the counts, base_failed, rejected_by (the scores at or above their cutoffs), kept. The texts are read once:
+    their counts are written to the shared folder, for the cutoffs and the verdicts."""
+    rows = stored(with_features(docs, id_col, text_col, stratum_col), "features")
+    return verdicts(rows, cutoffs(rows, marked(labels, label_id_col, label_col), risk, delta))
+
+
+def verdicts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    out = attached(rows, cuts, "stratum", F.length("stratum") + 64, "left")
+    by = F.array_compact(F.array(*(F.when(column >= F.col("cuts")[i], F.lit(s)) for i, (s, column) in enumerate(score_columns().items()))))
+    out = out.withColumn("base_failed", base_failed()).withColumn("rejected_by", by).drop("cuts")
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
 
 
 def filtered(docs: DataFrame, labels: DataFrame, risk: float = 0.04, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
-    """The rows of docs that are kept, with their columns; the texts are not shuffled."""
-    cuts = thresholds(docs, labels, risk, delta, id_col, text_col, stratum_col)
+    """The rows of docs that are kept, with their columns; the texts are not shuffled (unless the cutoffs are over 16 MB). Only labelled
+    documents are scored for the cutoffs, as long as their ids fit into a broadcast of 16 MB."""
+    marks = stored(marked(labels, "doc_id", "quality"), "marks")
+    few = marks.count() * 16 <= 16 << 20
+    scored = docs.join(F.broadcast(marks.select(F.col("doc_id").alias(id_col))), id_col, "left_semi") if few else docs
+    cuts = cutoffs(with_features(scored, id_col, text_col, stratum_col), marks, risk, delta)
     names = docs.columns
-    at = names.index(text_col)
-    stratum_at = names.index(stratum_col) if stratum_col else -1
+    at, key, mine = names.index(text_col), free_name("stratum_key", names), free_name("cuts", names)
+    stratum = F.coalesce(docs[f"`{stratum_col}`"].cast("string"), F.lit("")) if stratum_col else F.lit("")
+    keyed = docs.select(*pick(docs, *names), stratum.alias(key))
+    with_cuts = attached(keyed, cuts.select(F.col("stratum").alias(key), F.col("cuts").alias(mine)), key, F.length(key) + 64, "left")
+    last = len(names)
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = texts_of(b.column(at))
         for lo, hi in slices(texts):
-            keep = kept_flags(texts[lo:hi], [x or "" for x in b.column(stratum_at).slice(lo, hi - lo).to_pylist()] if stratum_col else [""] * (hi - lo), cuts)
-            yield b.slice(lo, hi - lo).filter(pa.array(keep))
+            keep = kept_flags(texts[lo:hi], b.column(last).slice(lo, hi - lo).to_pylist())
+            yield b.select(range(last)).slice(lo, hi - lo).filter(pa.array(keep)).rename_columns(names)
 
     tune(docs.sparkSession)
-    return docs.mapInArrow(mapped(run), docs.schema)
+    return numbered(with_cuts.select(*pick(with_cuts, *names, mine))).mapInArrow(mapped(run), docs.schema)
 
 
-def kept_flags(texts: list[bytes], strata: list[str], cuts: dict[str, dict[str, float]]) -> np.ndarray:
+def kept_flags(texts: list[bytes], cuts: list[list[float | None] | None]) -> np.ndarray:
     f = {k: np.asarray(v, np.int64) for k, v in features(texts).items()}
     n, chars = np.maximum(f["n_words"], 1), np.maximum(f["word_chars"], 1)
     scores = {"symbol_share": f["n_symbols"] / chars, "dup_line_share": f["n_dup_lines"] / np.maximum(f["n_lines"], 1), "repeat_share": f["n_repeat_words"] / n, "long_words": f["word_chars"] / n}
     keep = (f["n_words"] >= LEAST_WORDS) & (100 * f["n_repeat_words"] <= MOST_REPEATED * f["n_words"])
-    for s, x in scores.items():
-        keep &= x < np.array([cuts.get(k, {}).get(s, np.inf) for k in strata])
+    for i, x in enumerate(scores.values()):
+        keep &= x < np.array([np.inf if c is None or c[i] is None else c[i] for c in cuts])
     return keep

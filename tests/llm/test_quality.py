@@ -47,6 +47,11 @@ def test_bound_is_exact():
     assert q.upper_bound(5, 5, 0.05) == 1.0
 
 
+def cuts_of(df, labels, risk=0.04, delta=0.05):
+    rows = q.cutoffs(q.with_features(df, "doc_id", "text", "lang"), q.marked(labels, "doc_id", "quality"), risk, delta).collect()
+    return {r.stratum: d for r in rows if (d := {s: c for s, c in zip(q.SCORES, r.cuts, strict=True) if c is not None})}
+
+
 def test_cutoffs_keep_the_risk(spark):
     """Bad documents have many symbols, good ones rarely: a cutoff is found for the large stratum only, and pipeline and query agree."""
     rng = random.Random(8)
@@ -60,7 +65,7 @@ def test_cutoffs_keep_the_risk(spark):
         labels.append((i, 0 if bad else 1))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     lab = spark.createDataFrame(labels, "doc_id long, quality int")
-    cuts = q.thresholds(df, lab, 0.04, 0.05)
+    cuts = cuts_of(df, lab)
     assert "symbol_share" in cuts["en"] and "" not in cuts
     kept = {r.doc_id for r in q.judged(df, lab).where("kept").collect()}
     assert kept == {r.doc_id for r in q.filtered(df, lab).collect()}
@@ -80,7 +85,7 @@ def test_strata_of_some_hundred_labels_get_cutoffs(spark):
             labels.append((len(labels), int(i % 10 > 0)))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     lab = spark.createDataFrame(labels, "doc_id long, quality int")
-    cuts = q.thresholds(df, lab, 0.04, 0.05)
+    cuts = cuts_of(df, lab)
     assert {"en", "de", "fr"} == {k for k, c in cuts.items() if "symbol_share" in c}
     kept = {r.doc_id for r in q.judged(df, lab).where("kept").collect()}
     assert kept == {i for (i, _, lang), (_, good) in zip(rows, labels, strict=True) if good or lang == "es"} == {r.doc_id for r in q.filtered(df, lab).collect()}
@@ -92,10 +97,29 @@ def cell(label, tested, levels, n):
 
 def test_joint_rejection_within_the_whole_risk():
     """Scores that reject 3 % of the good documents each pass alone, not together; 107 tested good documents are too few, 108 enough."""
-    assert q.cutoffs([{"stratum": "x", "cells": [cell(1, True, [0, 0, 0, 0], 107), cell(0, True, [1, 0, 0, 0], 9)]}] * 4, 0.04, 0.05) == {}
-    assert q.cutoffs([{"stratum": "x", "cells": [cell(1, True, [0, 0, 0, 0], 108), cell(0, True, [1, 0, 0, 0], 9)]}] * 4, 0.04, 0.05) == {"x": {"symbol_share": 0.02}}
+    assert q.stratum_cutoffs([cell(1, True, [0, 0, 0, 0], 107), cell(0, True, [1, 0, 0, 0], 9)], 0.04, 0.05 / 4) == {}
+    assert q.stratum_cutoffs([cell(1, True, [0, 0, 0, 0], 108), cell(0, True, [1, 0, 0, 0], 9)], 0.04, 0.05 / 4) == {"symbol_share": 0.02}
     cells = [cell(1, tested, levels, n * (3 if tested else 1)) for tested in (True, False) for levels, n in (([0, 0, 0, 0], 940), ([7, 0, 0, 0], 30), ([0, 0, 0, 6], 30))]
     for levels in ([7, 0, 0, 0], [0, 0, 0, 6]):
         alone = [c for c in cells if c["levels"] in ([0, 0, 0, 0], levels)] + [cell(0, True, levels, 500)]
         assert len(q.stratum_cutoffs(alone, 0.04, 0.05)) == 1
     assert len(q.stratum_cutoffs(cells + [cell(0, True, [7, 0, 0, 0], 500), cell(0, True, [0, 0, 0, 6], 400)], 0.04, 0.05)) == 1
+
+
+def test_many_strata_all_count(spark):
+    """1,200 strata: none is left out. The cells are made directly, 300 good and 30 bad documents each."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(1200).select(F.format_string("s%04d", "id").alias("stratum"), F.explode(F.sequence(F.lit(0), F.lit(329))).alias("k"), "id")
+    bad = F.col("k") >= 300
+    scored = rows.select((F.col("id") * 1000 + F.col("k")).alias("doc_id"), "stratum", F.lit(50).cast("long").alias("n_words"), F.lit(200).cast("long").alias("word_chars"), F.when(bad, 60).otherwise(0).cast("long").alias("n_symbols"), *(F.lit(0).cast("long").alias(c) for c in ("n_dup_lines", "n_repeat_words")), F.lit(1).cast("long").alias("n_lines"), bad.alias("bad"))
+    marks = scored.select("doc_id", (~F.col("bad")).cast("int").alias("label"))
+    found = q.cutoffs(scored.drop("bad"), marks, 0.05, 0.5)
+    assert found.count() == 1200 and found.where("cuts[0] is not null").count() == 1200
+
+
+def test_repeated_rows_of_a_document_are_one_trial(spark):
+    rows = [(i, "plain words " * 15 if i % 9 else "sym### " * 30, "en") for i in range(100)]
+    once = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(i, int(i % 9 > 0)) for i in range(100)], "doc_id long, quality int")
+    assert cuts_of(once, lab) == {} == cuts_of(once.union(once).union(once).union(once), lab)
