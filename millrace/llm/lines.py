@@ -3,12 +3,13 @@
 1. Every document sends its distinct line hashes (128 bits of the key: blanks stripped at both ends, A-Z lower-cased). A task
    adds up what it reads before it sends, and Spark adds before and after the shuffle: a line of a third of all rows is one
    row per task.
-2. Hashes found in at least `min_docs` documents (others never lose a line, so the index leaves them out) are dealt to shards.
-   A shard is a minimal perfect hash (levels of bit arrays; a hash that is alone in its cell at a level is placed, others go
-   on) whose ranks index an array of 64-bit fingerprints and an array of counts.
-3. Documents probe: the rank of a hash, then its fingerprint; a hash that is not in the index fails at the fingerprint. While
-   the shards together are under BROADCAST_BYTES (checked) they are broadcast. Above it, probes (hash, row, without text) are
-   dealt to the shards and the answers go back by batch: the index grows with the data, no task's share of it does.
+2. The distinct hashes found in two documents or more (all, if min_docs is 1; a line of one document never reaches a higher
+   min_docs, so the index leaves it out) are dealt to shards. A shard is a minimal perfect hash (levels of bit arrays; a hash that
+   is alone in its cell at a level is placed, others go on; ranks are counted by bits) whose ranks index an array of 64-bit
+   fingerprints and an array of counts.
+3. Documents probe: the rank of a hash, its fingerprint, then its count, which decides. A hash that is not in the index fails at
+   the fingerprint. While the shards together are under BROADCAST_BYTES (checked) they are broadcast. Above it, probes (hash, batch,
+   without text) are dealt to the shards, each shard to as many tasks as its probes ask for, and the answers go back by batch.
 
 Defined results: a null or empty text is one empty line and stays; keys of under min_chars code points stay; repeated rows are
 documents of their own; null ids keep their rows.
@@ -25,14 +26,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, LongType, StructType
 
-from millrace.llm.shared import ODD, Batches, begin_task, count_shuffles, doc_columns, grouped, kept, mapped, mixed, slices, stored, table, texts_of, tune
+from millrace.llm.shared import ODD, Batches, begin_task, count_shuffles, doc_columns, free_name, grouped, kept, mapped, mixed, slices, stored, table, texts_of, tune
 from millrace.llm.sharing import packed, unpacked
 
 #: Bytes of all shards up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
 #: Hashes of a shard, about.
 SHARD_KEYS = 250_000
+#: Bytes of hashes that one task looks up in a shard, about.
+ASKED_BYTES = 32 << 20
 #: Cells of a level for each hash that is left.
 SPARE = 2
 #: Distinct lines that a task adds up before it sends them.
@@ -55,24 +59,27 @@ def line_hashes(lines: list[bytes], min_chars: int) -> list[bytes]:
 
 
 class PerfectHash:
-    """Minimal perfect hash of distinct 64-bit pairs, with a fingerprint and a count at each rank."""
+    """Minimal perfect hash of distinct 64-bit pairs, with a fingerprint and a count at each rank. A level is an array of 64-bit words;
+    before has the bits set before each word, so a rank is a lookup and a count of bits."""
 
     def __init__(self, hi: np.ndarray, lo: np.ndarray, counts: np.ndarray):
-        self.n = len(hi)
-        self.levels: list[np.ndarray] = []
-        todo = np.arange(self.n)
-        place = np.empty(self.n, np.int64)
+        n = len(hi)
+        self.sizes, self.levels = [], []
+        todo = np.arange(n)
+        place = np.empty(n, np.int64)
         rank = 0
         while len(todo):
-            cells = self._cell(hi[todo], lo[todo], len(self.levels), SPARE * len(todo) + 1)
-            alone = np.bincount(cells, minlength=SPARE * len(todo) + 1) == 1
-            self.levels.append(alone)
+            size = SPARE * len(todo) + 1
+            cells = self._cell(hi[todo], lo[todo], len(self.levels), size)
+            alone = np.bincount(cells, minlength=size) == 1
+            self.sizes.append(size)
+            self.levels.append(np.packbits(np.append(alone, np.zeros(-size % 64, bool)), bitorder="little").view(np.uint64))
             ranks = np.cumsum(alone) - 1
             won = alone[cells]
             place[todo[won]] = rank + ranks[cells[won]]
             rank += int(won.sum())
             todo = todo[~won]
-        self.fingerprints, self.counts = np.empty(self.n, np.uint64), np.empty(self.n, np.uint32)
+        self.fingerprints, self.counts = np.empty(n, np.uint64), np.empty(n, np.uint32)
         self.fingerprints[place] = lo
         self.counts[place] = np.minimum(counts, 2**32 - 1)
         self._ready()
@@ -80,8 +87,9 @@ class PerfectHash:
     def _ready(self) -> None:
         self.before, total = [], 0
         for level in self.levels:
-            self.before.append(total + np.append(0, np.cumsum(level)[:-1]))
-            total += int(level.sum())
+            set_bits = np.bitwise_count(level).astype(np.int64)
+            self.before.append((total + np.cumsum(set_bits) - set_bits).astype(np.uint32))
+            total += int(set_bits.sum())
 
     @staticmethod
     def _cell(hi: np.ndarray, lo: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -92,33 +100,37 @@ class PerfectHash:
         """The count of each pair; 0 for those that are not in the index."""
         out = np.zeros(len(hi), np.int64)
         todo = np.arange(len(hi))
-        for k, level in enumerate(self.levels):
+        one = np.uint64(1)
+        for k, (size, level) in enumerate(zip(self.sizes, self.levels, strict=True)):
             if not len(todo):
                 break
-            cells = self._cell(hi[todo], lo[todo], k, len(level))
-            here = level[cells]
-            at = self.before[k][cells[here]]
+            cells = self._cell(hi[todo], lo[todo], k, size)
+            word, bit = cells >> 6, (cells & 63).astype(np.uint64)
+            here = (level[word] >> bit & one).astype(bool)
+            w = word[here]
+            at = self.before[k][w].astype(np.int64) + np.bitwise_count(level[w] & ((one << bit[here]) - one))
             same = self.fingerprints[at] == lo[todo[here]]
             out[todo[here][same]] = self.counts[at[same]]
             todo = todo[~here]
         return out
 
     def dump(self) -> bytes:
-        sizes = np.array([self.n, len(self.levels), *map(len, self.levels)], np.int64).tobytes()
-        return sizes + b"".join(np.packbits(x).tobytes() for x in self.levels) + self.fingerprints.tobytes() + self.counts.tobytes()
+        head = np.array([len(self.fingerprints), len(self.levels), *self.sizes], np.int64)
+        return b"".join(x.tobytes() for x in (head, *self.levels, self.fingerprints, self.counts))
 
     @classmethod
     def load(cls, data: bytes) -> PerfectHash:
+        """A view of the bytes; only the arrays `before` (a sixteenth of the bits) are made anew."""
         self = cls.__new__(cls)
-        self.n, n_levels = np.frombuffer(data, np.int64, 2).tolist()
-        sizes = np.frombuffer(data, np.int64, n_levels, 16).tolist()
+        n, n_levels = np.frombuffer(data, np.int64, 2).tolist()
+        self.sizes = np.frombuffer(data, np.int64, n_levels, 16).tolist()
         at = 16 + 8 * n_levels
         self.levels = []
-        for size in sizes:
-            self.levels.append(np.unpackbits(np.frombuffer(data, np.uint8, (size + 7) // 8, at), count=size).astype(bool))
-            at += (size + 7) // 8
-        self.fingerprints = np.frombuffer(data[at : at + 8 * self.n], np.uint64)
-        self.counts = np.frombuffer(data[at + 8 * self.n :], np.uint32)
+        for size in self.sizes:
+            self.levels.append(np.frombuffer(data, np.uint64, -(-size // 64), at))
+            at += 8 * -(-size // 64)
+        self.fingerprints = np.frombuffer(data, np.uint64, n, at)
+        self.counts = np.frombuffer(data, np.uint32, n, at + 8 * n)
         self._ready()
         return self
 
@@ -132,8 +144,8 @@ def shard_of(hi: np.ndarray, n_shards: int) -> np.ndarray:
     return ((hi >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)
 
 
-def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
-    """hi, lo, n: line hashes found in at least min_docs rows of docs(doc_id, text)."""
+def counted_lines(docs: DataFrame, least: int, min_chars: int) -> DataFrame:
+    """hi, lo, n: line hashes found in at least so many rows of docs(text), with their number."""
 
     def count(batches: Batches) -> Batches:
         begin_task()
@@ -153,19 +165,21 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
         if seen:
             yield sent()
 
-    return docs.select("text").mapInArrow(count, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
+    return docs.select("text").mapInArrow(count, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def without_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """The rows of docs with the text that drop_lines() leaves, and its length in length_col if that is a column; a row that loses all
     its text stays with an empty one."""
     names = docs.columns
-    rows = docs.select(F.struct(*[docs[f"`{n}`"] for n in names]).alias("row"), docs[f"`{text_col}`"].cast("string").alias("text"))
-    out = probed(rows, min_docs, min_chars, "row", docs.select(F.struct(*[docs[f"`{n}`"] for n in names]).alias("row")).schema["row"].dataType.simpleString(), True)
+    others, empty = [n for n in names if n != text_col], free_name("was_null", names)
+    row = F.struct(*(docs[f"`{n}`"].alias(n) for n in others), docs[f"`{text_col}`"].isNull().alias(empty))
+    rows = docs.select(row.alias("row"), docs[f"`{text_col}`"].cast("string").alias("text"))
+    out = probed(rows, min_docs, min_chars, "row", rows.schema["row"].dataType, True)
 
     def column(n: str):
         if n == text_col:
-            return F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("row")[n]).alias(n)
+            return F.when(~F.col("row")[empty], F.col("kept")).alias(n)
         if n == length_col:
             return F.when(F.col("n_dropped") > 0, F.length("kept").cast(docs.schema[n].dataType)).otherwise(F.col("row")[n]).alias(n)
         return F.col("row")[n].alias(n)
@@ -175,16 +189,16 @@ def without_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_
 
 def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Per row: doc_id, n_lines, n_dropped, kept_sha256 and, on demand, kept (the text left)."""
-    return probed(doc_columns(docs, id_col, text_col), min_docs, min_chars, "doc_id", "long", keep_text)
+    return probed(doc_columns(docs, id_col, text_col), min_docs, min_chars, "doc_id", LongType(), keep_text)
 
 
-def probed(rows: DataFrame, min_docs: int, min_chars: int, name_col: str, name_type: str, keep_text: bool) -> DataFrame:
+def probed(rows: DataFrame, min_docs: int, min_chars: int, name_col: str, name_type: DataType, keep_text: bool) -> DataFrame:
     """rows: what to carry along in name_col, and text."""
     if min_docs < 1 or min_chars < 1:
         raise ValueError("min_docs and min_chars must be positive")
     spark = rows.sparkSession
     tune(spark)
-    lines = stored(frequent_lines(rows, min_docs, min_chars), "lines")
+    lines = stored(counted_lines(rows, min(2, min_docs), min_chars), "lines")
     n_shards = lines.count() // SHARD_KEYS + 1
 
     def shard(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -197,7 +211,9 @@ def probed(rows: DataFrame, min_docs: int, min_chars: int, name_col: str, name_t
 
     shards = stored(lines.mapInArrow(mapped(shard), "shard int, hi long, lo long, n long").groupBy("shard").applyInArrow(grouped(build), "shard int, data binary"), "shards")
     size = shards.agg(F.sum(F.length("data"))).first()[0] or 0
-    schema = f"{name_col} {name_type}, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * keep_text
+    schema = StructType().add(name_col, name_type).add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
+    if keep_text:
+        schema = schema.add("kept", "string")
 
     def finished(ids: pa.Array, texts: list[list[bytes]], drops: np.ndarray) -> pa.RecordBatch:
         kept, gone, at = [], [], 0
@@ -258,9 +274,13 @@ def probed(rows: DataFrame, min_docs: int, min_chars: int, name_col: str, name_t
                     out["found"].append(both[hit].tobytes())
         return pa.table({"batch_id": pa.array(out["batch_id"], pa.int64()), "found": pa.array(out["found"], pa.binary())})
 
-    p = count_shuffles(spark)
-    asked = batches.mapInArrow(mapped(emit), "shard int, batch_id long, hashes binary").repartition(p, "shard")
-    answers = asked.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(grouped(answer), "batch_id long, found binary")
+    # a shard is copied to as many tasks as the probes that it gets ask for, so no task's share grows with the data
+    asked = stored(batches.mapInArrow(mapped(emit), "shard int, batch_id long, hashes binary"), "asked")
+    copies = int((asked.agg(F.sum(F.length("hashes"))).first()[0] or 0) / n_shards / ASKED_BYTES) + 1
+    p = max(count_shuffles(spark), n_shards * copies)
+    asked = asked.withColumn("copy", F.pmod(F.xxhash64("batch_id"), F.lit(copies)).cast("int")).repartition(p, "shard", "copy")
+    spread = shards.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    answers = asked.groupBy("shard", "copy").cogroup(spread.groupBy("shard", "copy")).applyInArrow(grouped(answer), "batch_id long, found binary")
     answers = answers.groupBy("batch_id").agg(F.collect_list("found").alias("found"))
 
     def finish(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
