@@ -77,6 +77,11 @@ def pick(df: DataFrame, *names: str) -> list[Column]:
     return [df[f"`{n}`"].alias(n) for n in names]
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named by place, since mapInArrow takes no names with dots."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -40,12 +40,14 @@ def test_like_brute_force(spark, monkeypatch):
         t[i:i] = x.split()[rng.randint(0, 3) :]
         texts.append(rng.choice([" ", ", ", "\n"]).join(t))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    odd = docs.union(spark.createDataFrame([(None, "RARE"), (None, None), (3, "rare")], docs.schema)).selectExpr("*", "1 as `a.b`", "text as n_hit")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute(texts, items)
     for room in (400_000, 40):
         monkeypatch.setattr(d, "SHARD_WORDS", room)
         got = {r.doc_id: r for r in d.decontaminate(docs, bench, keep_spans=True).collect()}
         assert [(got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) for i in range(len(texts))] == want
+        assert d.clean(odd, bench).count() == sum(not w[4] for w in want) + 1
         assert all(sum(b - a for a, b in r.hit_words) == r.n_hit for r in got.values())
     assert d.decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert d.decontaminate(docs.limit(0), bench).count() == 0
