@@ -5,9 +5,10 @@ characters of base64 with lower and upper case and a digit), endpoint (URLs). A
 complement is near: an access identifier (access or key_id) and a secret (assign, hex or key) within `scope` characters of
 each other are linked, and an endpoint is reported if it is within scope of both an identifier and a secret.
 
-The join is an interval join inside each text: the neighbourhoods (a span and `scope` characters on both sides) of all
-identifiers, and of all secrets, are merged into disjoint intervals in one pass in order, and a weak part is looked up in
-the intervals of its complements. It is exact and makes no pair of spans; nothing is shuffled.
+The join is an interval join inside each text, by a sweep: identifiers, secrets and endpoints are sorted by start, one pass forward
+carries the furthest end of any identifier and of any secret so far, one pass backward the nearest start of those to come, and
+a weak part compares its own place with these. It is exact, makes no pair of spans, and nothing is shuffled. Passes are made in
+blocks like the sums of positions, so n spans cost n ** 1.5 at most.
 
 Positions: Spark tells matches but not where they are; the text is split by the same expression, and the lengths of the
 pieces before a match add up to its start. The sums are made in blocks, so that a text with n matches costs n ** 1.5 at most.
@@ -33,12 +34,27 @@ ENDPOINT = r"""https?://[A-Za-z0-9][^\x00-\x20"'<>]{3,}"""
 #: Kinds in the order of the report, with the bit that says what part a kind plays.
 KINDS = ("assign", "access", "hex", "key_id", "key", "endpoint")
 BLOCK = 256
+#: More characters than a text has.
+FAR = 1 << 40
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once, however often the body (or a lambda in it) asks for it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def starts(lengths: Column) -> Column:
     """For an array of structs (before, own): array of starts, summed in blocks."""
+    return let(lengths, starts_of)
+
+
+def starts_of(lengths: Column) -> Column:
     n = F.size(lengths)
     blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda k: F.slice(lengths, k * BLOCK + 1, BLOCK))
+    return let(blocks, starts_in)
+
+
+def starts_in(blocks: Column) -> Column:
     sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["before"] + x["own"]))
     offsets = F.aggregate(sums, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
     empty = F.expr("cast(array() as array<int>)")
@@ -86,16 +102,23 @@ def find_secrets(docs: DataFrame, scope: int = 200, id_col: str = "doc_id", text
 
 def linked(rows: DataFrame, scope: int) -> DataFrame:
     sort = F.array_sort
-    rows = rows.withColumns({"ids": sort(F.concat("access", "key_id")), "secrets": sort(F.concat("assign", "hex", "key"))})
     weak = F.size("key_id") + F.size("key") + F.size("endpoint") > 0
+    both = weak & (F.size("access") + F.size("key_id") > 0) & (F.size("assign") + F.size("hex") + F.size("key") > 0)
     none = F.expr("cast(array() as array<struct<start:int,kind_order:int,end:int>>)")
-    both = weak & (F.size("ids") > 0) & (F.size("secrets") > 0)
-    rows = rows.withColumns({"by_id": F.when(both, neighbourhoods(F.col("ids"), scope)), "by_secret": F.when(both, neighbourhoods(F.col("secrets"), scope))})
-    report = F.concat(
-        F.filter("key_id", lambda x: near(x, F.col("by_secret"))),
-        F.filter("key", lambda x: near(x, F.col("by_id"))),
-        F.filter("endpoint", lambda x: near(x, F.col("by_id")) & near(x, F.col("by_secret"))),
-    )
+    rows = rows.withColumn("found", F.when(both, sort(F.concat(*KINDS))))
+    rows = rows.withColumns({"behind": furthest(F.col("found"), "end"), "ahead": F.reverse(furthest(F.reverse("found"), "start"))})
+    swept = F.zip_with("found", F.zip_with("behind", "ahead", lambda b, a: F.struct(b.alias("b"), a.alias("a"))), lambda x, y: F.struct(x.alias("x"), y["b"].alias("b"), y["a"].alias("a")))
+    order = {k: i for i, k in enumerate(KINDS)}
+
+    def near(s: Column, part: str) -> Column:
+        return (s["b"][part] >= s["x"]["start"] - scope) | (-s["a"][part] <= s["x"]["end"] + scope)
+
+    def reported(s: Column) -> Column:
+        kind = s["x"]["kind_order"]
+        by_id, by_secret = near(s, "id"), near(s, "secret")
+        return ((kind == order["key_id"]) & by_secret) | ((kind == order["key"]) & by_id) | ((kind == order["endpoint"]) & by_id & by_secret)
+
+    report = F.transform(F.filter(swept, reported), lambda s: s["x"])
     rows = rows.withColumn("linked", F.when(both, report).otherwise(none)).withColumn("base", sort(F.concat("assign", "access", "hex")))
     return rows.select(
         "doc_id",
@@ -106,19 +129,32 @@ def linked(rows: DataFrame, scope: int) -> DataFrame:
     )
 
 
-def neighbourhoods(found: Column, scope: int) -> Column:
-    """Spans, sorted, with scope characters on both sides, merged: disjoint array<struct<lo, hi>> in order."""
-    start = F.expr("cast(array() as array<struct<lo:int,hi:int>>)")
+def furthest(found: Column, side: str) -> Column:
+    """For each span of an array: struct (id, secret) of the greatest end (side "end"), or the greatest negative start (side "start"), of
+    any identifier and any secret up to and with it; FAR below zero if there is none."""
+    sign = 1 if side == "end" else -1
+    ids, secrets = [KINDS.index(k) for k in ("access", "key_id")], [KINDS.index(k) for k in ("assign", "hex", "key")]
+    far = F.lit(-FAR).cast("long")
+
+    def own(x: Column) -> Column:
+        value = (x[side] * sign).cast("long")
+        return F.struct(F.when(x["kind_order"].isin(ids), value).otherwise(far).alias("id"), F.when(x["kind_order"].isin(secrets), value).otherwise(far).alias("secret"))
 
-    def step(a: Column, x: Column) -> Column:
-        lo, hi = x["start"] - scope, x["end"] + scope
-        last = F.element_at(a, -1)
-        apart = F.concat(a, F.array(F.struct(lo.alias("lo"), hi.alias("hi"))))
-        merged = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], hi).alias("hi"))))
-        return F.when(F.size(a) == 0, apart).when(lo <= last["hi"], merged).otherwise(apart)
+    def most(a: Column, b: Column) -> Column:
+        return F.struct(F.greatest(a["id"], b["id"]).alias("id"), F.greatest(a["secret"], b["secret"]).alias("secret"))
 
-    return F.aggregate(found, start, step)
+    first = F.struct(far.alias("id"), far.alias("secret"))
+    empty = F.expr("cast(array() as array<struct<id:bigint,secret:bigint>>)")
+    def cut(values: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda k: F.slice(values, k * BLOCK + 1, BLOCK))
+
+    def inside(b: Column, base: Column) -> Column:
+        start = F.struct(base.alias("at"), empty.alias("out"))
+        return F.aggregate(b, start, lambda a, x: F.struct(most(a["at"], x).alias("at"), F.concat(a["out"], F.array(most(a["at"], x))).alias("out")), lambda a: a["out"])
 
+    def carried(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, first, most))
+        bases = F.aggregate(totals, F.array(first), lambda a, x: F.concat(a, F.array(most(F.element_at(a, -1), x))))
+        return F.flatten(F.zip_with(blocks, F.slice(bases, 1, F.size(blocks)), inside))
 
-def near(x: Column, intervals: Column) -> Column:
-    return F.exists(intervals, lambda y: (x["start"] <= y["hi"]) & (x["end"] >= y["lo"]))
+    return let(let(F.transform(found, own), cut), carried)

@@ -41,3 +41,16 @@ def test_like_brute_force(spark):
     for i, t in enumerate(texts):
         assert got[i] == brute(t), t
     assert s.find_secrets(df.limit(0)).count() == 0
+
+
+def test_many_spans_in_one_text(spark):
+    """20,000 identifiers, secrets and URLs in one text, near each other in the first half only."""
+    import time
+
+    near = [f"id ASIA{i:08d}XY key deadbeefdeadbeefdeadbeef{i:08x} at https://h{i}.example/x" for i in range(20000)]
+    far = [f"at https://h{i}.example/x" for i in range(20000)]
+    df = spark.createDataFrame([(1, "\n".join(near) + " " * 500 + "\n".join(far))], "doc_id long, text string")
+    began = time.time()
+    r = s.find_secrets(df).first()
+    assert r.n_hex == 20000 and r.n_linked == 40000
+    assert time.time() - began < 60
