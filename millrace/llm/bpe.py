@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from millrace.llm.shared import doc_columns, kept, mapped, slices, tune
 
 #: Bytes of the table of units and ids that a worker keeps, about: a bound on memory. A full table is emptied.
-TABLE_BYTES = 80 << 20
+TABLE_BYTES = 64 << 20
 #: Marks that end a chunk and are a piece of their own after a letter.
 ENDS = tuple(".,:;!?|)")
 #: Characters of a text that are worked on at once, about; longer texts are cut where no piece is.
@@ -394,16 +394,18 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         texts = [t or "" for t in b.column(1).to_pylist()]
         for lo, hi in slices(texts):
             packed = enc(texts[lo:hi])
-            lists = [np.frombuffer(p, kind).tolist() for p in packed]
-            back = [decoded(v, x) for x in lists]
-            out = {
-                "doc_id": b.column(0).slice(lo, hi - lo),
-                "n_tokens": pa.array(map(len, lists), pa.int64()),
-                "ids_sha256": [hashlib.sha256(",".join(map(names.__getitem__, x)).encode()).hexdigest() for x in lists],
-                "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in back],
-            }
+            hashes, back_hashes, back = [], [], []
+            for p in packed:  # one document's ids at a time as Python numbers
+                x = np.frombuffer(p, kind).tolist()
+                text = decoded(v, x)
+                hashes.append(hashlib.sha256(",".join(map(names.__getitem__, x)).encode()).hexdigest())
+                back_hashes.append(hashlib.sha256(text.encode()).hexdigest())
+                if keep_text:
+                    back.append(text)
+            sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // kind.itemsize
+            out = {"doc_id": b.column(0).slice(lo, hi - lo), "n_tokens": pa.array(sizes), "ids_sha256": hashes, "decoded_sha256": back_hashes}
             if keep_ids:
-                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
                 flat = np.frombuffer(b"".join(packed), kind).astype(np.int32)
                 out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             if keep_text:

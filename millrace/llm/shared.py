@@ -40,9 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches of bounded size."""
+    """Batches of bounded size, between Spark and Python and from Parquet: 4096 texts in one column vector are an array of tens of MB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
