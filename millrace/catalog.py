@@ -38,10 +38,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    import millrace.catalog_more  # noqa: F401, registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 

@@ -101,10 +101,15 @@ def privacy(c: Column, ip: bool = False) -> Column:
 def duplicate_lines(c: Column, least: int = 10) -> Column:
     """Lines of under `least` stripped characters stay; of others the first of each key (blanks collapsed, lower case)."""
     lines = F.split(c, "\n", -1)
-    keyed = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("i"), F.lower(sub(strip(x), r"[ \t\r\f\x0b]+", " ")).alias("k"), (F.length(strip(x)) < least).alias("short")))
-    keys = F.transform(keyed, lambda x: F.when(x["short"], F.concat(F.lit("\x00"), x["i"].cast("string"))).otherwise(x["k"]))
-    first = F.filter(keyed, lambda x, i: x["short"] | (F.array_position(keys, x["k"]) == i + 1))
-    return join_lines(F.transform(first, lambda x: x["line"]))
+    keyed = F.transform(lines, lambda x, i: F.struct(F.lower(sub(strip(x), r"[ \t\r\f\x0b]+", " ")).alias("k"), i.alias("i"), (F.length(strip(x)) >= least).alias("long"), x.alias("line")))
+    # sorted by key and place, a line is a repeat if the one before it has its key; then back to the lines' order
+    ordered = F.array_sort(F.filter(keyed, lambda x: x["long"]))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(ordered, lambda x: x["k"]))
+    first = F.filter(F.zip_with(ordered, F.slice(before, 1, F.size(ordered)), lambda x, b: F.struct(x["i"].alias("i"), x["line"].alias("line"), x["k"].eqNullSafe(b).alias("twin"))), lambda x: ~x["twin"])
+    short = F.transform(F.filter(keyed, lambda x: ~x["long"]), lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"), F.lit(False).alias("twin")))
+    kept = join_lines(F.transform(F.array_sort(F.concat(first, short)), lambda x: x["line"]))
+    # a quoted end of 20 characters or more that follows itself stays once
+    return sub(kept, r'(.{20,}")\1+', "$1")
 
 
 def noise(c: Column) -> Column:
@@ -187,7 +192,8 @@ def cache_ttl(c: Column, default: int = 900) -> Column:
 def threat(c: Column) -> Column:
     """The first reason that matches, or null."""
     found = [F.when(c.rlike("(?i)" + p), F.lit(f"Threat pattern matched: {p}")) for p in THREATS]
-    return F.coalesce(*found, F.when(c.rlike(INVISIBLE), F.lit("Invisible Unicode")))
+    point = F.lpad(F.hex(F.ascii(F.regexp_extract(c, f"({INVISIBLE})", 1))), 4, "0")
+    return F.coalesce(*found, F.when(c.rlike(INVISIBLE), F.concat(F.lit("Invisible Unicode U+"), point, F.lit(" detected"))))
 
 
 def token_estimate(c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import search_tokens
 from millrace.functions.vectors import dot, norm
+from millrace.work import written
 
 #: Rows up to which a query set is broadcast.
 BROADCAST_QUERIES = 10_000
@@ -22,24 +23,33 @@ def small(df: DataFrame, limit: int = BROADCAST_QUERIES) -> DataFrame:
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf, dl: the inverted list, with the document's length in tokens."""
+    """id, term, tf, dl: the whole inverted list, with the document's length in tokens; to be stored by a caller who asks again and again."""
+    return tokens(docs, id_col, text_col).where("term is not null").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, dl, term: a row per token, and one of null for each document."""
     rows = docs.select(F.col(id_col).alias("id"), search_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
-    return rows.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return rows.select("id", F.size("terms").alias("dl"), F.explode(F.concat("terms", F.array(F.lit(None).cast("string")))).alias("term"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, id, score > 0. queries: query_id, text. Document frequency and mean length are those of the whole corpus; only
-    postings of query terms are shuffled."""
+    """query_id, id, score > 0. queries: query_id, text. Document frequency and mean length are those of the whole corpus. The texts are
+    tokenised once: tokens that no query asks for leave before anything is counted, and each task adds up its documents' lengths in one
+    row; what is left (postings of query terms) is written to the shared folder, since frequencies and scores both need it."""
     terms = queries.select("query_id", F.explode(search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    lengths = docs.select(F.size(search_tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    wanted = small(terms.select("term").distinct(), 100_000)
-    # the terms of interest leave the tokens before they are counted
-    hits = postings(docs, id_col, text_col).join(wanted, "term")
+    wanted = small(terms.select("term").distinct().withColumn("asked", F.lit(True)), 100_000)
+    kept = tokens(docs, id_col, text_col).join(wanted, "term", "left").where("asked or term is null")
+    in_term = F.col("term").isNotNull()
+    counted = kept.select(F.when(in_term, F.col("id")).alias("id"), F.when(in_term, F.col("dl")).alias("dl"), "term", F.col("dl").alias("length"))
+    found = written(counted.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"), F.sum("length").alias("total")), "postings")
+    stats = found.where("term is null").select(F.col("tf").alias("n_docs"), F.col("total") / F.col("tf")).first()
+    n_docs, avgdl = (stats[0], stats[1]) if stats else (0, 0.0)
+    hits = found.where("term is not null")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = hits.join(small(df, 100_000), "term").join(small(terms), "term")
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(avgdl or 1.0))))
     return scored.groupBy("query_id", "id").agg(F.round(F.sum(idf * tf * F.col("qf")), 6).alias("score")).where("score > 0")
 
 

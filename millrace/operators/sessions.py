@@ -22,7 +22,9 @@ def scroll(messages: DataFrame, anchors: DataFrame, before: int, after: int) ->
 
 
 def bookends(messages: DataFrame) -> DataFrame:
-    return messages.groupBy("session").agg(F.min_by("text", "ts").alias("first_text"), F.max_by("text", "ts").alias("last_text"), F.count(F.lit(1)).alias("n"))
+    """First and last text by ts; equal times go by role, then text."""
+    turn = F.struct("ts", "role", "text")
+    return messages.groupBy("session").agg(F.min(turn).alias("a"), F.max(turn).alias("z"), F.count(F.lit(1)).alias("n")).select("session", F.col("a.text").alias("first_text"), F.col("z.text").alias("last_text"), "n")
 
 
 def last_n(messages: DataFrame, n: int) -> DataFrame:
@@ -52,3 +54,33 @@ def tail_budget(messages: DataFrame, chars: int, overhead: int = 8) -> DataFrame
 
 def split_recent(messages: DataFrame, turns: int) -> DataFrame:
     return messages.withColumn("part", F.when(F.row_number().over(by_time_desc()) <= 2 * turns, F.lit("recent")).otherwise(F.lit("older")))
+
+
+def collapsed(messages: DataFrame) -> DataFrame:
+    """Of equal user turns of a session the latest stays, other turns all."""
+    w = Window.partitionBy("session", "role", "text").orderBy(F.desc("ts"))
+    return messages.withColumn("nth", F.row_number().over(w)).where("role <> 'user' or nth = 1").drop("nth")
+
+
+def zones(messages: DataFrame, tokens: int, head_roles: tuple[str, ...] = ("system",)) -> DataFrame:
+    """messages with zone: head (leading system turns and the first user turn), tail (the newest turns whose token estimates fit, at least
+    one), middle."""
+    w = by_time()
+    other = F.sum(F.when(F.col("role").isin(*head_roles), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    first_user = F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    head = (other == 0) | ((F.col("role") == "user") & (first_user == 1))
+    cost = F.sum(F.floor(F.length("text") / 4)).over(by_time_desc().rowsBetween(Window.unboundedPreceding, 0))
+    newest = F.row_number().over(by_time_desc()) == 1
+    return messages.withColumn("zone", F.when(head, F.lit("head")).when((cost <= tokens) | newest, F.lit("tail")).otherwise(F.lit("middle")))
+
+
+def without_running_lines(pages: DataFrame, threshold: float = 0.3, least: int = 3) -> DataFrame:
+    """pages(doc, page, text) without the lines that stand on more than `threshold` of the document's pages (headers and footers; of `least`
+    characters or more, stripped). Documents of one page stay as they are."""
+    lines = pages.select("doc", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
+    key = F.trim(F.regexp_replace("line", r"^[ \t\r\f\x0b]+|[ \t\r\f\x0b]+$", ""))
+    total = pages.groupBy("doc").agg(F.count_distinct("page").alias("n"))
+    often = lines.withColumn("k", key).where(F.length("k") >= least).groupBy("doc", "k").agg(F.count_distinct("page").alias("on")).join(total, "doc").where((F.col("n") >= 2) & (F.col("on") > threshold * F.col("n")))
+    kept = lines.withColumn("k", key).join(often.select("doc", "k"), ["doc", "k"], "left_anti")
+    whole = kept.groupBy("doc", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("kept"))
+    return pages.select("doc", "page").distinct().join(whole, ["doc", "page"], "left").select("doc", "page", F.coalesce("kept", F.lit("")).alias("text"))

@@ -1 +1 @@
-
+"""Readers, keyed tables and versioned stores."""

@@ -1 +1 @@
-
+"""The event operators on Structured Streaming."""
