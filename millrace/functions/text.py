@@ -116,6 +116,7 @@ def noise(c: Column) -> Column:
     return strip(steps(c, [(r"Copyright[^\n]*", ""), (r"All Rights Reserved\.?", ""), (r"(?i)\[advertisement\]", ""), (r"\n{3,}", "\n\n")]))
 
 
+#: Full-width marks and what they become; entities, tags and masks below are fixed values too.
 WIDE, NARROW = "，。：；！（）“”‘’", ",.:;!()\"\"''"
 
 
@@ -192,7 +193,8 @@ def cache_ttl(c: Column, default: int = 900) -> Column:
 def threat(c: Column) -> Column:
     """The first reason that matches, or null."""
     found = [F.when(c.rlike("(?i)" + p), F.lit(f"Threat pattern matched: {p}")) for p in THREATS]
-    point = F.lpad(F.hex(F.ascii(F.regexp_extract(c, f"({INVISIBLE})", 1))), 4, "0")
+    digits = F.hex(F.ascii(F.regexp_extract(c, f"({INVISIBLE})", 1)))
+    point = F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0"))
     return F.coalesce(*found, F.when(c.rlike(INVISIBLE), F.concat(F.lit("Invisible Unicode U+"), point, F.lit(" detected"))))
 
 

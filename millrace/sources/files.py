@@ -22,7 +22,7 @@ def objects(spark: SparkSession, path: str, pattern: str | None = None, limit: i
 def texts(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """path, format, text, status of text files: bytes that are no UTF-8 become U+FFFD, blanks at the ends go; a file without text is
     `partial`."""
-    text = strip(F.decode("content", "UTF-8"))
+    text = strip(F.make_valid_utf8(F.col("content").cast("string")))
     rows = objects(spark, path, pattern).select("path", format_of(F.col("path")).alias("format"), text.alias("text"))
     return rows.withColumn("status", F.when(F.col("text") == "", F.lit("partial")).otherwise(F.lit("ok")))
 
