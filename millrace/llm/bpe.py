@@ -16,7 +16,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from millrace.llm.shared import doc_columns, kept, mapped, slices, tune
 #: Bytes of the table of units and ids that a worker keeps, about: a bound on memory. A full table is emptied.
 TABLE_BYTES = 64 << 20
 #: Marks that end a chunk and are a piece of their own after a letter.
-ENDS = tuple(".,:;!?|)")
+ENDS = frozenset(".,:;!?|)")
 #: Characters of a text that are worked on at once, about; longer texts are cut where no piece is.
 SEGMENT = 1 << 20
 #: Symbols by class that one block of trees holds, so that a block stays within some tens of MB.
@@ -282,8 +282,12 @@ class Encoder:
                 continue
             if type(c) is tuple:
                 found = self.find(c[0])
-            elif c[-1:] in ENDS and c[:-1].isalpha():
-                found = (" " + c[:-1], c[-1])
+            elif c[-1:] in ENDS and (word := c[:-1]).isalpha():
+                b = get(word, -1)
+                refs.append(b if b >= 0 else at + extra.setdefault(" " + word, len(extra)))
+                refs.append(at + extra.setdefault(c[-1], len(extra)))
+                sizes.append(2)
+                continue
             else:
                 found = self.find(" " + c)
             refs.extend(map(ref, found))
@@ -330,13 +334,23 @@ class Encoder:
             split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
             begins = split.offsets.to_numpy()
             words = split.flatten().dictionary_encode()
-            of = self.placed(words.dictionary.to_pylist(), len(words.dictionary))
+            of = self.distinct(words.dictionary.to_pylist())
             at = of[words.indices.to_numpy()]
             heads = [texts[i].split(" ", 1)[0] for i in plain]
             at[begins[:-1]] = self.placed([(h,) for h in heads], len(heads))
             self.flush(plain, np.diff(begins), at, out)
         return [b"".join(x) for x in out]
 
+    def distinct(self, units: list[str]) -> np.ndarray:
+        """placed() for units of which none repeats: new ones get their places all at once."""
+        at = np.fromiter(map(self.places.get, units, repeat(-1)), np.int64, len(units))
+        new = at < 0
+        fresh = list(compress(units, new.tolist()))
+        at[new] = places = np.arange(len(self.places), len(self.places) + len(fresh))
+        self.places.update(zip(fresh, places.tolist(), strict=True))
+        self.places.fresh.extend(fresh)
+        return at
+
     def placed(self, units: Iterable, n: int) -> np.ndarray:
         return np.fromiter(map(self.places.__getitem__, units), np.int64, n)
 
