@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from millrace.llm.shared import doc_columns, kept, mapped, slices, tune
 
-#: Bytes of the table of units and ids that a worker keeps, about: a bound on memory. A full table is emptied.
+#: Bytes of the table of units and ids that a worker keeps, about: a bound on memory.
 TABLE_BYTES = 64 << 20
 #: Marks that end a chunk and are a piece of their own after a letter.
 ENDS = frozenset(".,:;!?|)")
@@ -220,7 +220,7 @@ def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 class Encoder:
     """Whole texts to packed ids. Texts are cut into units where a blank stands before a non-blank, which no pre-split piece crosses. A unit
     is a string (a chunk that a blank precedes), a tuple of one string (a chunk that none does) or the id of a special token. The ids of
-    units met are kept in a table of TABLE_BYTES at most, which is emptied when full; encode(pieces), which gives the ids of all pieces
+    units met are kept in a table of TABLE_BYTES at most, where only those met in several batches stay when it is full; encode(pieces), which gives the ids of all pieces
     joined and the number for each, encodes what it lacks."""
 
     def __init__(self, pattern: str, special: dict[str, int], size: int, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
@@ -240,6 +240,25 @@ class Encoder:
             self.places[i]
         self.places.fresh = []
         self.flat, self.first, self.count = np.array(ids, self.kind), np.arange(len(ids), dtype=np.int64), np.ones(len(ids), np.int64)
+        self.seen = np.zeros(len(ids), np.int32)  # how often a batch had the unit
+
+    def shrink(self) -> None:
+        """Leaves the units that batches met most often, half of them at most: most units of a text occur nowhere else."""
+        keep, least = self.seen >= 2, 2
+        while keep.sum() > len(keep) // 2 and least < 64:
+            least += 1
+            keep = self.seen >= least
+        keep[: len(self.special)] = True
+        share = keep.sum() / len(keep)
+        if share > 0.6:
+            return self.clear()
+        units, size = list(compress(self.places, keep.tolist())), self.places.size
+        count = self.count[keep]
+        self.flat = self.flat[ragged(self.first[keep], count)]
+        self.first, self.count, self.seen = np.cumsum(count) - count, count, self.seen[keep] // 2
+        self.places = Places()
+        self.places.update(zip(units, range(len(units)), strict=True))
+        self.places.size = int(size * share)
 
     def units(self, text: str) -> Iterator[list]:
         """Lists of units, in order; long texts give several."""
@@ -311,6 +330,7 @@ class Encoder:
             begins = np.append(0, ends[:-1])
             first[rest], count[rest] = len(self.flat) + of_words + sums[begins], sums[ends] - sums[begins]
         self.first, self.count = np.append(self.first, first), np.append(self.count, count)
+        self.seen = np.append(self.seen, np.zeros(len(fresh), np.int32))
         self.flat = np.concatenate([self.flat, ids[:of_words], joined])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -334,7 +354,7 @@ class Encoder:
             split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
             begins = split.offsets.to_numpy()
             words = split.flatten().dictionary_encode()
-            of = self.distinct(words.dictionary.to_pylist())
+            of = self.distinct(words.dictionary.to_numpy(zero_copy_only=False).tolist())
             at = of[words.indices.to_numpy()]
             heads = [texts[i].split(" ", 1)[0] for i in plain]
             at[begins[:-1]] = self.placed([(h,) for h in heads], len(heads))
@@ -368,8 +388,13 @@ class Encoder:
         for i, end in zip(rows, ends[np.cumsum(sizes) - 1].tolist(), strict=True):
             out[i].append(data[begin * wide : end * wide])
             begin = end
+        here = np.zeros(len(self.seen), bool)
+        here[at] = True
+        self.seen += here
         if self.places.size > TABLE_BYTES:
-            self.clear()
+            self.shrink()
+            if self.places.size > TABLE_BYTES:
+                self.clear()
 
 
 #: What splits a text before the merges (the byte-level pattern that the vocabulary files are made for); a fixed value.
