@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("timestamp") for n, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it has fewer partitions than these, for work that costs far more than moving the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def query(sql: str | None = None):
     def register(f: Query) -> Query:
         _QUERIES[f.__name__] = f
@@ -160,7 +166,7 @@ def minhash_signature(spark, sf_dir):
 @query()
 def minhash_documents(spark, sf_dir):
     """Signatures of all documents; 64 zeros without tokens. SQL is too slow over them: tests/test_operators.py has brute force."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.md5(F.array_join(V.minhash(F.array_distinct(V.shingles(T.run_tokens(F.coalesce("text", F.lit("")))))), ",")).alias("signature"))
 
 
