@@ -14,6 +14,7 @@ from millrace.operators import facts as K
 from millrace.operators import graph as G
 from millrace.operators import retrieval as R
 from millrace.operators import sessions as S
+from millrace.operators import similarity as X
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -166,8 +167,8 @@ def minhash_signature(spark, sf_dir):
 @query()
 def minhash_documents(spark, sf_dir):
     """Signatures of all documents; 64 zeros without tokens. SQL is too slow over them: tests/test_operators.py has brute force."""
-    d = spread(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", F.md5(F.array_join(V.minhash(F.array_distinct(V.shingles(T.run_tokens(F.coalesce("text", F.lit("")))))), ",")).alias("signature"))
+    signed = X.signatures(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
+    return signed.select(F.col("id").alias("doc_id"), F.md5(F.array_join("signature", ",")).alias("signature"))
 
 
 @query("""
