@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.catalog import EDGES_SQL, ORDERED, key_edges, messages, query, table
+from millrace.catalog import EDGES_SQL, ORDERED, key_edges, messages, query, spread, table
 from millrace.functions import records as N
 from millrace.functions import text as T
 from millrace.functions import vectors as V
@@ -711,12 +711,12 @@ def chunk_quality(spark, sf_dir):
 
 @query()
 def chunk_fixed(spark, sf_dir):
-    return C.fixed(table(spark, sf_dir, "documents")).select("doc_id", "place", F.md5("text").alias("text_md5"))
+    return C.fixed(spread(table(spark, sf_dir, "documents"))).select("doc_id", "place", F.md5("text").alias("text_md5"))
 
 
 @query()
 def chunk_seven_step(spark, sf_dir):
-    return C.chunked(table(spark, sf_dir, "documents"), parents=True).select("doc_id", "role", "place", "chunk_id", "score")
+    return C.chunked(spread(table(spark, sf_dir, "documents")), parents=True).select("doc_id", "role", "place", "chunk_id", "score")
 
 
 # ---- sessions, archives, pages ----
