@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, decontaminate, jaccard, lines, quality, rans, secrets, substrings, urls
+from millrace.llm import alignment, bpe, chat, decontaminate, jaccard, lines, mixing, quality, quantize, rans, secrets, substrings, urls
 from millrace.llm.shared import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 HOST_RULES = [urls.host_rule("block", "net/"), urls.host_rule("allow", "example.net/en/"), urls.host_rule("block", "example.com/de/"), urls.host_rule("allow", "org/fr/")]
 PATTERN_RULES = [urls.pattern_rule("block", p) for p in ("^spam-farm^", "^casino^", "^adserver^", "^doubleclick^", "/ads/", "utm_campaign=spam", "free-*-download")]
@@ -62,8 +63,20 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(read(spark, sf_dir, "documents"), shingle=5, percent=80).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(mixing.plan_mix(read(spark, sf_dir, "documents"), weights=(3, 1, 2), total=1.5, cap=2))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantize.report(read(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_bpe, op3_decontamination, op4_token_binary, op5_line_dedup, op6_secrets, op7_substring_dedup, op8_quality, op9_chat, op10_jaccard)}
+    return {f.__name__: f for f in (op1_url_filter, op2_bpe, op3_decontamination, op4_token_binary, op5_line_dedup, op6_secrets, op7_substring_dedup, op8_quality, op9_chat, op10_jaccard, op11_mixing, op12_alignment, op13_vector_codes)}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -159,5 +172,25 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(reach.y) AS
 FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.x = d.doc_id GROUP BY ALL"""
 
 
+
+def sql_13(rounds: int = 4) -> str:
+    """Lloyd's rounds unrolled: distances by inner products of whole numbers, which doubles hold exactly."""
+    near = "SELECT r, p, min((list_inner_product(c.v, c.v) - 2 * list_inner_product(c.v, b{k}.v) + list_inner_product(b{k}.v, b{k}.v))::BIGINT * 256 + e) AS x FROM c JOIN b{k} USING (p) GROUP BY r, p"
+    steps = [f"""
+a{k} AS MATERIALIZED ({near.format(k=k)}),
+m{k} AS (SELECT p, e, list(x ORDER BY i) AS v FROM (SELECT p, a{k}.x % 256 AS e, i, floor(sum(v[i]) / count(*)) AS x FROM c JOIN a{k} USING (r, p), (SELECT unnest(range(1, (SELECT any_value(len(v)) FROM c) + 1)) AS i) GROUP BY ALL) GROUP BY p, e),
+b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.v, b{k}.v) AS v FROM b{k} LEFT JOIN m{k} USING (p, e)),""" for k in range(rounds)]
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+c AS MATERIALIZED (SELECT r, p, w[p * (len(w) // 4) + 1 : (p + 1) * (len(w) // 4)] AS v FROM k, (SELECT unnest(range(4)) AS p)),
+b0 AS MATERIALIZED (SELECT p, r AS e, v FROM c WHERE r < 256),{"".join(steps)}
+f AS ({near.format(k=rounds)}),
+g AS (SELECT r, string_agg(printf('%02x', x % 256), '' ORDER BY p) AS code, CAST(sum(x // 256) AS BIGINT) AS error FROM f GROUP BY r),
+h AS (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM b{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN g USING (r), h"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": SQL_1, "op3_decontamination": SQL_3, "op5_line_dedup": SQL_5, "op7_substring_dedup": SQL_7, "op9_chat": SQL_9, "op10_jaccard": SQL_10}
+    return {"op1_url_filter": SQL_1, "op3_decontamination": SQL_3, "op5_line_dedup": SQL_5, "op7_substring_dedup": SQL_7, "op9_chat": SQL_9, "op10_jaccard": SQL_10, "op13_vector_codes": sql_13()}

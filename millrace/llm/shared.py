@@ -54,6 +54,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes the folder of a stored() table that nothing needs any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def attached(df: DataFrame, table: DataFrame, key: str | list[str], size: Column, how: str = "inner", limit: int = 16 << 20) -> DataFrame:
     """df joined with a stored table by key. The table is broadcast only if its rows' sizes (size: bytes of a row) add up to limit at
     most, which is counted first; else the join shuffles both."""
