@@ -182,8 +182,8 @@ m{k} AS (SELECT p, e, list(x ORDER BY i) AS v FROM (SELECT p, a{k}.x % 256 AS e,
 b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.v, b{k}.v) AS v FROM b{k} LEFT JOIN m{k} USING (p, e)),""" for k in range(rounds)]
     return f"""
 WITH k AS (
-  SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS w FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 c AS MATERIALIZED (SELECT r, p, w[p * (len(w) // 4) + 1 : (p + 1) * (len(w) // 4)] AS v FROM k, (SELECT unnest(range(4)) AS p)),
 b0 AS MATERIALIZED (SELECT p, r AS e, v FROM c WHERE r < 256),{"".join(steps)}
 f AS ({near.format(k=rounds)}),
