@@ -289,7 +289,7 @@ def retrieval_satisfactory(spark, sf_dir):
 
 def skills(spark, sf_dir) -> DataFrame:
     empty = F.expr("cast(array() as array<string>)")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("skill_id"), F.col("p_name").alias("title"), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("t1"))).otherwise(empty).alias("tenants"), empty.alias("channels"), F.when(F.col("p_size") % 5 == 0, "deprecated").alias("status"), F.array("p_brand", "p_type").alias("triggers"), F.array(F.lit("^x"), F.lit("BR")).alias("patterns"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("skill_id"), F.col("p_name").alias("title"), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("t1"))).otherwise(empty).alias("tenants"), empty.alias("channels"), F.when(F.col("p_size") % 5 == 0, "deprecated").alias("status"), F.array("p_brand", "p_type").alias("triggers"), F.array(F.lit("^x"), F.lit("BR"), F.lit("(")).alias("patterns"))
 
 
 @query("SELECT p_partkey AS skill_id FROM part WHERE p_size % 2 <> 0 AND p_size % 5 <> 0")
@@ -318,11 +318,14 @@ def session_join(spark, sf_dir):
     return R.with_sessions(o, c, "BUILDING").where("user_id = 3").select("o_orderkey", "user_id")
 
 
-@query("""WITH h AS (SELECT o_custkey AS query_id, o_orderkey AS id, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 7 END AS parent_id, o_totalprice AS score FROM orders), b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, coalesce(parent_id, id) ORDER BY score DESC, id) = 1)
-SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, n_name AS parent_text FROM b LEFT JOIN nation ON n_nationkey = coalesce(parent_id, id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5""")
+@query("""WITH h AS (SELECT o_custkey AS query_id, o_orderkey AS id, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 7 END AS parent_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM orders),
+k AS (SELECT h.*, n_name AS t FROM h LEFT JOIN nation ON n_nationkey = parent_id AND n_nationkey <> 3), f AS (SELECT query_id, parent_id, min(pos) AS first_pos FROM k WHERE t IS NOT NULL GROUP BY ALL),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_pos) AS no FROM f), o AS (SELECT k.*, coalesce(no <= 3 AND first_pos = pos, false) AS expanded FROM k LEFT JOIN g ON g.query_id = k.query_id AND g.parent_id = k.parent_id WHERE no IS NULL OR no > 3 OR first_pos = pos)
+SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS INTEGER) AS rank, expanded, CASE WHEN expanded THEN t END AS parent_text FROM o""")
 def parent_expand(spark, sf_dir):
     h = table(spark, sf_dir, "orders").selectExpr("o_custkey AS query_id", "o_orderkey AS id", "CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 7 END AS parent_id", "o_totalprice AS score")
-    return R.parents_of(h, table(spark, sf_dir, "nation").selectExpr("n_nationkey AS parent_id", "n_name AS text")).select("query_id", "id", "rank", "parent_text")
+    parents = table(spark, sf_dir, "nation").where("n_nationkey <> 3").selectExpr("n_nationkey AS parent_id", "n_name AS text")
+    return R.parents_of(h, parents, 3).select("query_id", "id", "rank", "expanded", "parent_text")
 
 
 @query("SELECT doc_id AS chunk_id, doc_id % 4 <> 0 AND doc_id % 3 <> 0 AS same FROM documents")
@@ -364,10 +367,13 @@ def asof_join(spark, sf_dir):
     return R.asof_join(e.where("event_id % 2 = 0").select("event_id", "user_id", "ts"), right, "user_id", "ts", "value").select("event_id", "value")
 
 
-@query("SELECT alias AS mention, CASE WHEN alias = lower(alias) THEN (SELECT min(n_nationkey) FROM nation WHERE lower(n_name) = alias) ELSE n_nationkey END AS canonical_id FROM (SELECT n_nationkey, n_name AS alias FROM nation WHERE n_nationkey % 2 = 0)")
+@query("""WITH n AS (SELECT n_nationkey AS ord, n_name AS alias, n_nationkey % 7 AS id, n_name || ' ' || r_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey), m AS (SELECT DISTINCT c FROM (SELECT n_name AS c FROM nation UNION ALL SELECT n_name[2:5] FROM nation UNION ALL SELECT lower(r_name) FROM region UNION ALL SELECT n_name[:1] FROM nation))
+SELECT c AS mention, coalesce(arg_min(id, ord) FILTER (alias = c), arg_min(id, ord)) AS canonical_id FROM m JOIN n ON alias = c OR contains(lower(alias), lower(c)) OR contains(lower(name), lower(c)) GROUP BY c""")
 def entity_resolve(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    return R.resolved(n.where("n_nationkey % 2 = 0").selectExpr("n_name AS mention"), n.selectExpr("n_name AS alias", "n_nationkey AS canonical_id", "n_name AS display_name"))
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    names = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).selectExpr("n_nationkey AS ord", "n_name AS alias", "n_nationkey % 7 AS canonical_id", "concat(n_name, ' ', r_name) AS display_name")
+    asked = n.selectExpr("n_name AS mention").union(n.selectExpr("substring(n_name, 2, 4)")).union(r.selectExpr("lower(r_name)")).union(n.selectExpr("substring(n_name, 1, 1)"))
+    return R.resolved(asked, names)
 
 
 # ---- aggregates ----
@@ -439,9 +445,11 @@ def vector_count(spark, sf_dir):
 # ---- windows over turns and sentences ----
 
 
-@query("SELECT conv_id AS session, turn AS ts, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn DESC) AS n FROM conversations) WHERE role <> 'user' OR n = 1")
+@query("SELECT conv_id AS session, turn AS ts, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, regexp_replace(text, '^[ \\t\\n\\r\\f\\x0b]+|[ \\t\\n\\r\\f\\x0b]+$', '', 'g') ORDER BY turn DESC) AS n FROM conversations) WHERE role <> 'user' OR n = 1")
 def collapse_turns(spark, sf_dir):
-    return S.collapsed(messages(spark, sf_dir)).select("session", "ts", "role")
+    """Every second turn has blanks around its text, which do not count."""
+    m = messages(spark, sf_dir).withColumn("text", F.when(F.col("ts") % 2 == 0, F.concat(F.lit(" "), "text", F.lit("\n"))).otherwise(F.col("text")))
+    return S.collapsed(m).select("session", "ts", "role")
 
 
 @query(f"""WITH m AS (SELECT *, sum(CASE WHEN role = 'system' THEN 0 ELSE 1 END) OVER w AS o, sum((role = 'user')::INT) OVER w AS u, sum(length(text) // 4) OVER (PARTITION BY session ORDER BY back) AS cost FROM ({ORDERED}) WINDOW w AS (PARTITION BY session ORDER BY pos))
@@ -509,18 +517,18 @@ def dlq_latest(spark, sf_dir):
     return R.latest(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id")
 
 
-@query("""WITH u AS (SELECT o_orderkey AS session_id, CASE o_orderstatus WHEN 'F' THEN 'archived' ELSE 'ended' END AS status, o_orderdate AS d, 0 AS o FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT o_orderkey, 'ended', o_orderdate, 1 FROM orders WHERE o_orderkey % 2 = 0),
-f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY o) = 1) SELECT session_id, CASE WHEN o = 1 OR status = 'archived' THEN 'cold' ELSE 'online' END AS storage FROM f ORDER BY d DESC, session_id LIMIT 100""")
+@query("""WITH u AS (SELECT o_orderkey AS session_id, CASE o_orderstatus WHEN 'F' THEN 'archived' WHEN 'O' THEN 'closed' ELSE 'active' END AS status, o_orderdate AS d, 0 AS o FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT o_orderkey, 'ended', o_orderdate, 1 FROM orders WHERE o_orderkey % 2 = 0),
+f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY o) = 1) SELECT session_id, CASE WHEN o = 1 OR status = 'archived' THEN 'cold' WHEN status = 'closed' THEN 'online_closed' ELSE 'online' END AS storage FROM f ORDER BY d DESC, session_id LIMIT 100""")
 def session_listing(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     cols = ["o_orderdate AS started_at", "CAST(NULL AS timestamp) AS ended_at"]
-    online = o.where("o_orderkey % 3 > 0").selectExpr("o_orderkey AS session_id", "CASE o_orderstatus WHEN 'F' THEN 'archived' ELSE 'ended' END AS status", *cols)
+    online = o.where("o_orderkey % 3 > 0").selectExpr("o_orderkey AS session_id", "CASE o_orderstatus WHEN 'F' THEN 'archived' WHEN 'O' THEN 'closed' ELSE 'active' END AS status", *cols)
     return R.merged_listing(online, o.where("o_orderkey % 2 = 0").selectExpr("o_orderkey AS session_id", "'ended' AS status", *cols)).select("session_id", "storage")
 
 
-@query("SELECT l_orderkey::VARCHAR || CASE WHEN row_number() OVER w > 1 THEN '-dup' || (row_number() OVER w - 1)::VARCHAR ELSE '' END AS id, l_linenumber FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)")
+@query("WITH p AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS place FROM lineitem) SELECT l_orderkey::VARCHAR || CASE WHEN place > min(place) OVER (PARTITION BY l_orderkey) THEN '-dup' || place::VARCHAR ELSE '' END AS id, l_linenumber FROM p")
 def distinct_ids(spark, sf_dir):
-    return R.distinct_ids(table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS id", "l_linenumber"), "id", "l_linenumber")
+    return R.distinct_ids(table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS id", "l_linenumber", "l_shipdate", "l_orderkey"), "id", "l_shipdate", "l_orderkey", "l_linenumber").select("id", "l_linenumber")
 
 
 @query("SELECT c_custkey, array_to_string(list_distinct([c_mktsegment]) || CASE WHEN c_mktsegment = 'x' THEN [] ELSE ['x'] END, ',') AS tags FROM customer")
@@ -663,10 +671,11 @@ def cron_downrank(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(E.cron_downrank(F.col("value"), source), 4).alias("score"))
 
 
-@query("""WITH h AS (SELECT conv_id AS session, turn AS ts, text, contains(lower(text), 'the')::INT + contains(lower(text), 'que')::INT AS hits FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) <= 40)
-SELECT session, ts, hits FROM h WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY session ORDER BY hits DESC, ts DESC, text) <= 1""")
+@query("""WITH r AS (SELECT conv_id * 1000 + turn AS message_id, conv_id, role, turn AS ts, coalesce(text, '') AS text FROM conversations ORDER BY turn DESC, conv_id * 1000 + turn DESC LIMIT 200),
+h AS (SELECT *, contains(text, 'The')::INT + contains(text, 'que')::INT + contains(text, 'é,')::INT + contains(text, 'is')::INT AS hits FROM r WHERE role = 'user') SELECT message_id, hits FROM h WHERE hits > 0 ORDER BY hits DESC, ts, message_id DESC LIMIT 5""")
 def user_fallback(spark, sf_dir):
-    return E.user_fallback(messages(spark, sf_dir), F.array(F.lit("the"), F.lit("que")), 1).select("session", "ts", "hits")
+    m = table(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS message_id", "conv_id AS session_id", "role", "text AS content", "turn AS ts")
+    return E.user_fallback(m, " The que x  é, is ", 5).select("message_id", "hits")
 
 
 @query("""WITH b AS (SELECT conv_id AS query_id, text AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rank FROM conversations), s AS (SELECT *, 300 - (sum(length(t)) OVER (PARTITION BY query_id ORDER BY rank) - length(t)) AS room FROM b WHERE rank <= 5)

@@ -39,14 +39,17 @@ def cron_downrank(score: Column, source: Column, factor: float = 0.35) -> Column
     return F.when(source.isin("cron", "subagent", "tool"), score * factor).otherwise(score)
 
 
-def user_fallback(messages: DataFrame, terms: Column, limit: int, recent: int | None = None) -> DataFrame:
-    """The user's messages that hold a term, most terms first, then latest; of each session's latest min(300, 40 * limit) only."""
-    recent = recent or min(300, 40 * limit)
-    by = Window.partitionBy("session").orderBy(F.desc("ts"), F.desc("text"))
-    rows = messages.where("role = 'user'").withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= recent)
-    hits = F.size(F.filter(terms, lambda t: F.contains(F.lower(F.col("text")), F.lower(t))))
-    w = Window.partitionBy("session").orderBy(F.desc("hits"), F.desc("ts"), "text")
-    return rows.withColumn("hits", hits).where("hits > 0").withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+def user_fallback(messages: DataFrame, query: str, limit: int, session: str | None = None) -> DataFrame:
+    """What stands in when a search found no user turn: of the latest min(300, 40 * limit) messages (message_id, session_id, role, content,
+    ts) of any role, of one session or of all, those of the user that hold a word of the query (two characters or more, case counts):
+    most words first, then the earliest, `limit` at most. A query without such words gives the latest user turns."""
+    rows = messages if session is None else messages.where(F.col("session_id") == session)
+    recent = rows.orderBy(F.desc("ts"), F.desc("message_id")).limit(min(300, 40 * limit)).where("role = 'user'")
+    terms = [t for t in query.split() if len(t) >= 2]
+    if not terms:
+        return recent.withColumn("hits", F.lit(0)).orderBy(F.desc("ts"), F.desc("message_id")).limit(limit)
+    hits = sum((F.contains(F.coalesce("content", F.lit("")), F.lit(t)).cast("int") for t in terms), F.lit(0))
+    return recent.withColumn("hits", hits).where("hits > 0").orderBy(F.desc("hits"), "ts", F.desc("message_id")).limit(limit)
 
 
 def fingerprint(text: Column, chars: int = 100) -> Column:

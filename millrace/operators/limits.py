@@ -16,7 +16,7 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[
     names = rows.columns
     at = [names.index(k) for k in keys]
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-    kind = {"boolean": pa.bool_(), "double": pa.float64(), "string": pa.string(), "long": pa.int64()}[out_type]
+    kind = {"boolean": pa.bool_(), "double": pa.float64(), "string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}[out_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
@@ -74,15 +74,15 @@ def qps_limit(calls: DataFrame, limit: int = 100, seconds: float = 1.0) -> DataF
 
 
 def breaker(calls: DataFrame, failures: int = 5, recovery: float = 60.0, successes: int = 3) -> DataFrame:
-    """calls(key, at, call_id, ok) with state after the call: closed until so many failures in a row, open (calls are not made) for the
-    recovery time, then half_open until so many successes, or open again at the first failure."""
+    """calls(key, at, call_id, ok) with state after the call: closed until so many failures in a row, open (calls are not made) up to and
+    at the end of the recovery time, then half_open until so many successes, or open again at the first failure."""
 
     def start():
         return {"state": "closed", "bad": 0, "good": 0, "since": 0.0}
 
     def step(s, row) -> str:
         if s["state"] == "open":
-            if row["at"] - s["since"] < recovery:
+            if row["at"] - s["since"] <= recovery:
                 return "open"
             s.update(state="half_open", good=0)
         if row["ok"]:
@@ -111,10 +111,26 @@ def success_rates(uses: DataFrame, decay: float = 0.1, first: float = 1.0) -> Da
     return folded(uses, ["key"], ["at", "call_id"], lambda: {"r": first}, step, "rate", "double")
 
 
-def skill_status(rates: DataFrame, least: float = 0.2) -> DataFrame:
-    """key, rate, uses, deprecated from success_rates()."""
-    last = rates.groupBy("key").agg(F.max(F.struct("at", "call_id", "rate")).alias("l"), F.count(F.lit(1)).alias("uses"))
-    return last.select("key", F.col("l.rate").alias("rate"), "uses", (F.col("l.rate") < least).alias("deprecated"))
+def skill_status(rates: DataFrame, least: float = 0.2, decay: float = 0.1, first: float = 1.0) -> DataFrame:
+    """key, rate, uses, deprecated from success_rates(). A skill stays deprecated once its rate, before rounding, fell under `least`."""
+    before = F.coalesce(F.lag("rate").over(Window.partitionBy("key").orderBy("at", "call_id")), F.lit(first))
+    raw = F.when(F.col("ok"), F.least(F.lit(1.0), before + F.lit(decay) * (F.lit(1.0) - before))).otherwise(F.greatest(F.lit(0.0), before - F.lit(decay)))
+    last = rates.withColumn("low", raw < least).groupBy("key").agg(F.max(F.struct("at", "call_id", "rate")).alias("l"), F.count(F.lit(1)).alias("uses"), F.max("low").alias("deprecated"))
+    return last.select("key", F.col("l.rate").alias("rate"), "uses", "deprecated")
+
+
+def skill_errors(uses: DataFrame, most: int = 20) -> DataFrame:
+    """key, errors of uses(key, at, call_id, ok, error): what failures said, in order, each once while it is among the last `most`."""
+
+    def step(s: list, row) -> list:
+        if row["error"] not in s:
+            s.append(row["error"])
+            del s[:-most]
+        return list(s)
+
+    failed = uses.where("not ok and error <> ''")
+    out = folded(failed, ["key"], ["at", "call_id"], list, step, "errors", "array<string>")
+    return out.groupBy("key").agg(F.max_by("errors", F.struct("at", "call_id")).alias("errors"))
 
 
 def ttl_hit(at: Column, before: Column, ttl: float) -> Column:

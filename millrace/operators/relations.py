@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
+
+from millrace.functions.text import strip
+from millrace.work import ordinals
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
@@ -45,18 +52,24 @@ def keyword_rule(text: Column, words: list[str], match: str = "any") -> Column:
 
 
 def rule_tags(text: Column, rules: list[tuple[str, list[str], str, list[str]]], existing: Column, path: Column, extensions: dict[str, list[str]] | None = None, most: int = 32) -> tuple[Column, Column]:
-    """(tags, matched rules) of a document. rules: (name, words, any or all, tags). Existing tags first, then those of the rules in order,
-    file:<stem> and those of the extension; distinct, `most` at most."""
+    """(tags, matched rules) of a document. rules: (name, words, any or all, tags). Existing tags first (see listed_tags), then those of the rules in order, file:<stem> for a stem of 64 characters at most, and those of the extension; stripped,
+    distinct, not empty, `most` at most."""
     none = F.expr("cast(array() as array<string>)")
     found = [F.when(keyword_rule(text, words, match), F.array(*map(F.lit, tags))).otherwise(none) for _, words, match, tags in rules]
     names = F.array_compact(F.array(*[F.when(keyword_rule(text, words, match), F.lit(name)) for name, words, match, _ in rules])) if rules else none
     file = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
-    by_file = F.when(file != "", F.array(F.concat(F.lit("file:"), file))).otherwise(none)
+    by_file = F.when((file != "") & (F.length(file) <= 64), F.array(F.concat(F.lit("file:"), file))).otherwise(none)
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     by_ext = none
     for e, tags in (extensions or {}).items():
         by_ext = F.when(ext == e, F.array(*map(F.lit, tags))).otherwise(by_ext)
-    return F.slice(F.array_distinct(F.concat(F.coalesce(existing, none), *found, by_file, by_ext)), 1, most), names
+    every = F.transform(F.concat(F.coalesce(existing, none), *found, by_file, by_ext), strip)
+    return F.slice(F.array_distinct(F.filter(every, lambda t: t.isNotNull() & (t != ""))), 1, most), names
+
+
+def listed_tags(tags: Column) -> Column:
+    """Tags that are given as one string between ; , or |."""
+    return F.split(F.coalesce(tags, F.lit("")), "[;,|]+")
 
 
 def expired_sessions(sessions: DataFrame, now: Column, days: int) -> DataFrame:
@@ -83,12 +96,28 @@ def visible_skills(skills: DataFrame, tenant: str, channel: str | None = None) -
     return skills.where(ok & (F.coalesce("status", F.lit("active")) != "deprecated"))
 
 
+@F.pandas_udf(IntegerType())
+def patterns_found(texts: pd.Series, patterns: pd.Series) -> pd.Series:
+    """How many of the row's patterns are found in its text, case aside."""
+    known: dict[str, re.Pattern | None] = {}
+
+    def compiled(p: str) -> re.Pattern | None:
+        if p not in known:
+            try:
+                known[p] = re.compile(p, re.IGNORECASE)
+            except re.error:
+                known[p] = None
+        return known[p]
+
+    return pd.Series([sum(1 for p in ([] if ps is None else ps) if p is not None and (c := compiled(p)) and c.search(t or "")) for t, ps in zip(texts, patterns, strict=True)], dtype="int32")
+
+
 def skill_score(query: Column, triggers: Column, patterns: Column, title: Column, summary: Column) -> Column:
-    """1 for each trigger that holds the query, 2 for each pattern that it matches, 2 for the title, 1 for the summary; case aside."""
+    """1 for each trigger that holds the query, 2 for each pattern that it matches, 2 for the title, 1 for the summary; case aside. Patterns
+    come from skill files, in Python's form; a faulty one counts as no match."""
     q = F.lower(query)
     in_triggers = F.size(F.filter(triggers, lambda t: F.contains(F.lower(t), q)))
-    matched = F.size(F.filter(patterns, lambda p: F.regexp_like(query, F.concat(F.lit("(?i)"), p))))
-    return in_triggers + 2 * matched + F.when(F.contains(F.lower(title), q), 2).otherwise(0) + F.when(F.contains(F.lower(F.coalesce(summary, title)), q), 1).otherwise(0)
+    return in_triggers + 2 * patterns_found(query, patterns) + F.when(F.contains(F.lower(title), q), 2).otherwise(0) + F.when(F.contains(F.lower(F.coalesce(summary, title)), q), 1).otherwise(0)
 
 
 def owned_by(docs: DataFrame, user: str, meta_col: str = "metadata") -> DataFrame:
@@ -111,12 +140,22 @@ def with_sessions(rows: DataFrame, sessions: DataFrame, tenant: str | None = Non
 
 
 def parents_of(hits: DataFrame, parents: DataFrame, most: int = 5) -> DataFrame:
-    """Hits (query_id, id, parent_id, score) replaced by their parents' text: the best child of each parent counts, `most` parents of a
-    query; children without a parent stay as they are."""
-    best = first_by(hits.withColumn("of", F.coalesce("parent_id", "id")), ["query_id", "of"], F.desc("score"), "id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-    return ranked.join(parents.select(F.col("parent_id").alias("of"), F.col("text").alias("parent_text")), "of", "left").select("query_id", "id", "parent_id", "score", "rank", "parent_text")
+    """Hits (query_id, id, parent_id, score) in order of score, with the parent's text in place of the first hit of each of the first `most`
+    parents found (expanded, text); further hits of these parents go. Hits without a parent, with one that is not in parents (parent_id,
+    text) or has no text, and those of later parents stay as they are. rank: place in the outcome."""
+    order = [F.desc("score"), "id"]
+    known = parents.where("text <> ''").select("parent_id", "text")
+    rows = hits.join(known, "parent_id", "left")
+    family = Window.partitionBy("query_id", "parent_id").orderBy(*order)
+    first = F.col("text").isNotNull() & (F.row_number().over(family) == 1)
+    rows = rows.withColumn("first", first)
+    so_far = F.sum(F.col("first").cast("int")).over(Window.partitionBy("query_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("number", F.when(F.col("first"), so_far))
+    rows = rows.withColumn("number", F.first("number", ignorenulls=True).over(family))
+    taken = F.col("text").isNotNull() & (F.col("number") <= most)
+    kept = rows.withColumn("expanded", taken).where("first or not expanded")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    return kept.select("query_id", "id", "parent_id", "score", rank.alias("rank"), "expanded", F.when(F.col("expanded"), F.col("text")).alias("parent_text"))
 
 
 def unchanged(chunks: DataFrame, previous: DataFrame) -> DataFrame:
@@ -269,17 +308,25 @@ def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
 
 
 def merged_listing(online: DataFrame, cold: DataFrame, limit: int = 100) -> DataFrame:
-    """Sessions of both stores (session_id, status, started_at, ended_at), online rows first; the latest `limit`."""
+    """Sessions of both stores (session_id, status, started_at, ended_at), online rows first; the latest `limit`. storage: cold for archived
+    ones, online_closed for closed ones, else online."""
     rows = online.withColumn("_o", F.lit(0)).unionByName(cold.withColumn("_o", F.lit(1)))
-    one = first_by(rows, ["session_id"], "_o").withColumn("storage", F.when((F.col("_o") == 1) | (F.col("status") == "archived"), F.lit("cold")).otherwise(F.lit("online"))).drop("_o")
-    return one.orderBy(F.desc(F.coalesce("started_at", "ended_at")), "session_id").limit(limit)
+    one = first_by(rows, ["session_id"], "_o")
+    storage = F.when((F.col("_o") == 1) | (F.col("status") == "archived"), F.lit("cold")).when(F.col("status") == "closed", F.lit("online_closed")).otherwise(F.lit("online"))
+    return one.withColumn("storage", storage).drop("_o").orderBy(F.desc(F.coalesce("started_at", "ended_at")), "session_id").limit(limit)
 
 
-def distinct_ids(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The second and further rows of a key get its place among them: id-dup1, id-dup2, ..."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    text = F.col(key).cast("string")
-    return df.withColumn(key, F.when(n == 1, text).otherwise(F.concat(text, F.lit("-dup"), (n - 1).cast("string"))))
+def distinct_ids(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """Rows in the order given; an id that occurred before gets -dup and its place in the whole list, from 0. A later id that is spelled
+    like such a name counts as having occurred, too."""
+    rows = ordinals(df, *order).withColumn("_id", F.col(key).cast("string"))
+    again = F.row_number().over(Window.partitionBy("_id").orderBy("_place")) > 1
+    made = F.concat("_id", F.lit("-dup"), F.col("_place").cast("string"))
+    rows = rows.withColumns({"_again": again, "_made": made})
+    spelled = rows.where("_again").select(F.col("_made").alias("_id"), F.col("_place").alias("_since"))
+    rows = rows.join(spelled, "_id", "left")
+    seen = F.col("_again") | F.coalesce(F.col("_since") < F.col("_place"), F.lit(False))
+    return rows.withColumn(key, F.when(seen, F.col("_made")).otherwise(F.col("_id"))).select(*df.columns)
 
 
 def merged_tags(*tags: Column, most: int = 32) -> Column:
@@ -313,13 +360,21 @@ def cold_rows(messages: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 def resolved(mentions: DataFrame, names: DataFrame) -> DataFrame:
-    """mention, canonical_id by names(alias, canonical_id, display_name): the exact alias, else the first whose alias or display name holds
-    the mention."""
-    exact = mentions.join(names.select(F.col("alias").alias("mention"), "canonical_id"), "mention").groupBy("mention").agg(F.min("canonical_id").alias("canonical_id"))
-    rest = mentions.join(exact, "mention", "left_anti")
-    held = F.contains(F.lower("alias"), F.lower("mention")) | F.contains(F.lower("display_name"), F.lower("mention"))
-    near = rest.join(F.broadcast(names), held).groupBy("mention").agg(F.min_by("canonical_id", "alias").alias("canonical_id"))
-    return exact.unionByName(near)
+    """mention, canonical_id by names(ord, alias, canonical_id, display_name): the exact alias, else the first in order whose alias or
+    display name holds the mention, case aside. Names are found by the mention's first three characters (all of it, if shorter), which
+    names are filed under wherever these stand in them, and then compared in full. Without ord, the order is that of aliases."""
+    names = names if "ord" in names.columns else names.withColumn("ord", F.col("alias"))
+    exact = mentions.distinct().join(names.select(F.col("alias").alias("mention"), "canonical_id", "ord"), "mention").groupBy("mention").agg(F.min_by("canonical_id", "ord").alias("canonical_id"))
+    rest = mentions.distinct().join(exact, "mention", "left_anti").withColumn("low", F.lower("mention"))
+
+    def grams(c: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+        return F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*[F.substring(c, i, F.lit(n)) for n in (1, 2, 3)]))))
+
+    texts = names.select("ord", "canonical_id", F.explode(F.array(F.lower("alias"), F.lower(F.coalesce("display_name", "alias")))).alias("name"))
+    filed = texts.select("ord", "canonical_id", "name", F.explode(grams(F.col("name"))).alias("gram"))
+    near = rest.withColumn("gram", F.substring("low", 1, 3)).join(filed, "gram").where(F.contains("name", "low"))
+    return exact.unionByName(near.groupBy("mention").agg(F.min_by("canonical_id", "ord").alias("canonical_id")))
 
 
 def reading_order(boxes: DataFrame, page_width: float) -> DataFrame:

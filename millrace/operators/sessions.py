@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import strip
+
+
 def by_time():
     return Window.partitionBy("session").orderBy("ts", "role", "text")
 
@@ -39,10 +42,10 @@ def recent_user(messages: DataFrame, limit: int) -> DataFrame:
 
 
 def without_repeats(messages: DataFrame) -> DataFrame:
-    """Drops a turn equal to the one before it, and empty turns."""
-    full = messages.where("trim(text) <> ''")
-    same = F.lag("role").over(by_time()).eqNullSafe(F.col("role")) & F.lag("text").over(by_time()).eqNullSafe(F.col("text"))
-    return full.withColumn("same", same).where("not same").drop("same")
+    """Drops a turn equal (stripped) to the one before it, and empty turns."""
+    full = messages.withColumn("said", strip(F.col("text"))).where("said <> ''")
+    same = F.lag("role").over(by_time()).eqNullSafe(F.col("role")) & F.lag("said").over(by_time()).eqNullSafe(F.col("said"))
+    return full.withColumn("same", same).where("not same").drop("same", "said")
 
 
 def tail_budget(messages: DataFrame, chars: int, overhead: int = 8) -> DataFrame:
@@ -57,9 +60,10 @@ def split_recent(messages: DataFrame, turns: int) -> DataFrame:
 
 
 def collapsed(messages: DataFrame) -> DataFrame:
-    """Of equal user turns of a session the latest stays, other turns all."""
-    w = Window.partitionBy("session", "role", "text").orderBy(F.desc("ts"))
-    return messages.withColumn("nth", F.row_number().over(w)).where("role <> 'user' or nth = 1").drop("nth")
+    """Of user turns of a session that are equal when stripped, the latest stays; other turns all."""
+    w = Window.partitionBy("session", "role", "said").orderBy(F.desc("ts"))
+    rows = messages.withColumn("said", strip(F.coalesce("text", F.lit(""))))
+    return rows.withColumn("nth", F.row_number().over(w)).where("role <> 'user' or nth = 1").drop("nth", "said")
 
 
 def zones(messages: DataFrame, tokens: int, head_roles: tuple[str, ...] = ("system",)) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +24,14 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/millrace/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ordinals(df: DataFrame, *order: str | Column, name: str = "_place") -> DataFrame:
+    """df with each row's place in the whole order, from 0. Rows are dealt by ranges of the order and written; a range's offset is the number
+    of rows in those before it, so that no task sees more than its range (and one row for each range). Equal rows keep any order."""
+    part = "_part"
+    dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({part: F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ordered")
+    sizes = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(part, (ahead - F.col("_first")).alias("_shift"))
+    return dealt.join(F.broadcast(offsets), part).withColumn(name, F.col("_at") + F.col("_shift")).drop(part, "_at", "_shift")

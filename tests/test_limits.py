@@ -43,10 +43,10 @@ def test_breaker_and_rates(spark):
     rng = random.Random(4)
     rows = [("k" + str(i % 2), float(i), i, rng.random() < 0.5) for i in range(400)]
     df = spark.createDataFrame(rows, "key string, at double, call_id long, ok boolean").repartition(3)
-    want, rate, state = {}, {}, {}
+    want, rate, state, low = {}, {}, {}, {}
     for k, at, i, ok in rows:
         s = state.setdefault(k, ["closed", 0, 0, 0.0])
-        if s[0] == "open" and at - s[3] >= 20:
+        if s[0] == "open" and at - s[3] > 20:
             s[0], s[2] = "half_open", 0
         if s[0] != "open":
             if ok:
@@ -61,10 +61,29 @@ def test_breaker_and_rates(spark):
                     s[0], s[3], s[1] = "open", at, 0
         want[i] = s[0]
         r = rate.get(k, 1.0)
-        rate[k] = round(max(0.0, min(1.0, r + 0.1 * (1 - r) if ok else r - 0.1)), 3)
+        r = min(1.0, r + 0.1 * (1.0 - r)) if ok else max(0.0, r - 0.1)
+        low[k] = low.get(k, False) or r < 0.2
+        rate[k] = round(r, 3)
     assert {r.call_id: r.state for r in L.breaker(df, 3, 20.0, 2).collect()} == want
     got = {r.key: (r.rate, r.uses, r.deprecated) for r in L.skill_status(L.success_rates(df)).collect()}
-    assert got == {k: (r, 200, r < 0.2) for k, r in rate.items()}
+    assert got == {k: (r, 200, low[k]) for k, r in rate.items()}
+
+
+def test_breaker_is_open_at_the_very_end_of_its_recovery(spark):
+    df = spark.createDataFrame([("k", 0.0, 1, False), ("k", 20.0, 2, True), ("k", 20.5, 3, True)], "key string, at double, call_id long, ok boolean")
+    assert [r.state for r in L.breaker(df, 1, 20.0, 2).orderBy("call_id").collect()] == ["open", "open", "half_open"]
+
+
+def test_deprecation_is_sticky_and_errors_are_the_last_twenty(spark):
+    rows = [("a", float(i), i, i >= 9, f"e{i}") for i in range(40)] + [("b", float(i), i, False, f"e{i % 25}") for i in range(60)] + [("c", 1.0, 1, True, "x")]
+    df = spark.createDataFrame(rows, "key string, at double, call_id long, ok boolean, error string")
+    got = {r.key: (r.uses, r.deprecated) for r in L.skill_status(L.success_rates(df)).collect()}
+    assert got == {"a": (40, True), "b": (60, True), "c": (1, False)}
+    want = []
+    for i in range(60):
+        if f"e{i % 25}" not in want:
+            want = [*want, f"e{i % 25}"][-20:]
+    assert {r.key: r.errors for r in L.skill_errors(df).collect()} == {"a": [f"e{i}" for i in range(9)], "b": want}
 
 
 @pytest.fixture

@@ -78,3 +78,55 @@ def test_graph_text(spark):
     assert [r.node for r in nodes.collect()] == ["a"] and edges.count() == 0
     up = {r.node: r.props for r in G.upserted_nodes(n, spark.createDataFrame([("a", {"x": "y"}), ("z", {})], n.schema)).collect()}
     assert up == {"a": {"k": "v", "x": "y"}, "b": {}, "z": {}}
+
+
+def test_parents_are_capped_and_children_stay(spark):
+    hits = [(1, 10, 1, 0.9), (1, 11, 1, 0.8), (1, 12, None, 0.7), (1, 13, 2, 0.6), (1, 14, 99, 0.5), (1, 15, 3, 0.4), (1, 16, 3, 0.3), (1, 17, 2, 0.2), (1, 18, None, 0.1), (1, 2, None, 0.05)]
+    df = spark.createDataFrame(hits, "query_id int, id int, parent_id int, score double")
+    parents = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three"), (4, "")], "parent_id int, text string")
+    got = [(r.id, r.parent_text) for r in R.parents_of(df, parents, 2).orderBy("rank").collect()]
+    assert got == [(10, "one"), (12, None), (13, "two"), (14, None), (15, None), (16, None), (18, None), (2, None)]
+
+
+def test_user_fallback(spark):
+    from millrace.operators.evidence import user_fallback
+
+    rows = [(i, f"s{i % 2}", "user" if i % 3 else "assistant", f"word {'Alpha' if i % 4 == 0 else 'alpha'} {'beta' if i % 8 == 0 else ''}", i) for i in range(100)]
+    df = spark.createDataFrame(rows, "message_id int, session_id string, role string, content string, ts int")
+    window = [r for r in sorted(rows, key=lambda r: -r[4])[:80] if r[2] == "user"]
+    hits = [(sum(t in r[3] for t in ("Alpha", "beta")), r) for r in window]
+    want = [r[0] for h, r in sorted(((h, r) for h, r in hits if h), key=lambda x: (-x[0], x[1][4]))][:2]
+    assert [r.message_id for r in user_fallback(df, "Alpha  beta x", 2).collect()] == want
+    assert [r.message_id for r in user_fallback(df, "x", 2).collect()] == [98, 97]
+    assert [r.message_id for r in user_fallback(df, " ", 2, "s1").collect()] == [97, 95]
+    assert user_fallback(df, "gamma", 2).count() == 0
+
+
+def test_listing_and_ids(spark):
+    kind = "session_id string, status string, started_at string, ended_at string"
+    online = spark.createDataFrame([("a", "closed", "3", None), ("b", "archived", "2", None), ("c", None, None, "9")], kind)
+    cold = spark.createDataFrame([("a", "x", "1", None), ("d", "x", None, "5")], kind)
+    assert [(r.session_id, r.storage) for r in R.merged_listing(online, cold).collect()] == [("c", "online"), ("d", "cold"), ("a", "online_closed"), ("b", "cold")]
+    ids = ["x", "y", "x", "z", "x", "x-dup2", "y"]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(ids)], "id string, n int").repartition(3)
+    want, seen = [], set()
+    for i, t in enumerate(ids):
+        t = f"{t}-dup{i}" if t in seen else t
+        seen.add(t)
+        want.append(t)
+    assert [r.id for r in R.distinct_ids(df, "id", "n").orderBy("n").collect()] == want
+    assert R.distinct_ids(df.limit(0), "id", "n").count() == 0
+
+
+def test_faulty_patterns_and_first_names_in_order(spark):
+    df = spark.createDataFrame([("Ask", ["ask me"], ["(", "a.k", r"(?P<n>A)sk", None], "Title", None)], "q string, t array<string>, p array<string>, title string, s string")
+    assert df.select(R.skill_score(F.col("q"), F.col("t"), F.col("p"), F.col("title"), F.col("s"))).first()[0] == 1 + 4
+    names = spark.createDataFrame([(0, "zed corp", "Z1", "Zed"), (1, "acme", "A1", "Acme corp"), (2, "Acme", "A2", "x")], "ord int, alias string, canonical_id string, display_name string")
+    m = spark.createDataFrame([("Acme",), ("corp",), ("ACME",), ("e",), ("none",)], "mention string")
+    assert {r.mention: r.canonical_id for r in R.resolved(m, names).collect()} == {"Acme": "A2", "corp": "Z1", "ACME": "A1", "e": "Z1"}
+
+
+def test_tags_are_stripped_and_long_stems_left_out(spark):
+    df = spark.createDataFrame([(" a ; b|| a", "/x/" + "n" * 65 + ".txt"), (None, "/x/ok.txt")], "tags string, p string")
+    tags, _ = R.rule_tags(F.lit("text"), [("r", ["text"], "any", [" t "])], R.listed_tags(F.col("tags")), F.col("p"))
+    assert [r[0] for r in df.select(tags).collect()] == [["a", "b", "t"], ["t", "file:ok"]]
