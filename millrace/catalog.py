@@ -45,7 +45,8 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    import millrace.catalog_more  # noqa: F401, registers its queries here
+    import millrace.catalog_more
+    import millrace.catalog_search  # noqa: F401, both register their queries here
 
     return dict(_QUERIES)
 
