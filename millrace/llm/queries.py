@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import alignment, bpe, chat, decontaminate, jaccard, lines, mixing, quality, quantize, rans, secrets, substrings, urls
-from millrace.llm.shared import read
+from millrace.llm.shared import new_folder, read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -31,7 +31,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rans.read_back(*rans.write(read(spark, sf_dir, "documents"), TOKENIZER, end_id=2))
+    return rans.read_back(spark, rans.write(read(spark, sf_dir, "documents"), TOKENIZER, new_folder(spark, "tokens"), end_id=2))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Token-ID output in interleaved range asymmetric numeral system blocks.
 
-The format is a table in the shared folder (so that Spark's commit protocol covers it on any store): a row is a block of whole
-documents with part, block, first (ids of the part before it), n_ids and data. data holds, little-endian: the mark, the
+The output is a folder with three Parquet tables, which Spark's commit protocol covers on any store; nothing else is needed to read it back.
+model: id, f, the shared frequency table. manifest, written last, so that a folder without it is not whole: one row of format, vocabulary,
+lanes, steps, bits, n_ids and n_blocks. blocks: a row is a block of whole documents with part, block, first (ids of
+the part before it), n_ids and data. data holds, little-endian: the mark, the
 numbers of documents and ids, the documents' ids and lengths, then LANES interleaved streams that share one static frequency
 table, a checkpoint (all lanes' states and the place in the words) every STEPS steps, and a crc32 of everything before it.
 Blocks decode without each other, and the stretches between a block's checkpoints do too; a damaged block is an error.
@@ -25,11 +27,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import PATTERN, Encoder, Vocabulary, byte_letters, id_type
-from millrace.llm.shared import Batches, attached, begin_task, count_shuffles, doc_columns, kept, mapped, slices, stored, tune
+from millrace.llm.shared import Batches, attached, begin_task, count_shuffles, doc_columns, kept, mapped, removed, slices, stored, tune
 
 LANES, STEPS, BLOCK_IDS = 2048, 256, 1 << 20
 LOW = np.uint64(1 << 31)
@@ -105,6 +107,19 @@ class Frequencies:
                 room = np.minimum(f[order] - 1, np.maximum(1, f[order] * -rest // total + 1))
                 take = np.minimum(room, np.maximum(0, -rest - (np.cumsum(room) - room)))
                 f[order] -= take
+        self.hold(np.asarray(ids), f, size)
+
+    @classmethod
+    def read(cls, ids: np.ndarray, f: np.ndarray, size: int, bits: int) -> Frequencies:
+        """The model of a written table."""
+        if len(f) and int(f.sum()) != 1 << bits:
+            raise ValueError("the frequency table is damaged")
+        out = cls.__new__(cls)
+        out.bits = bits
+        out.hold(ids, f, size)
+        return out
+
+    def hold(self, ids: np.ndarray, f: np.ndarray, size: int) -> None:
         self.f = np.zeros(size, np.uint64)
         self.f[ids] = f.astype(np.uint64)
         self.c = np.append(np.uint64(0), np.cumsum(self.f)[:-1]).astype(np.uint64)
@@ -187,8 +202,8 @@ def opened(data: bytes, model: Frequencies) -> tuple[list[int | None], list[np.n
     return [None if z else d for d, z in zip(doc_ids, null, strict=True)], np.split(ids, ends)
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Frequencies]:
-    """(the table of blocks as it was written, the shared frequencies)."""
+def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Writes the folder path, which must not be there yet, and returns it."""
     spark = docs.sparkSession
     tune(spark)
     size = Vocabulary(tokenizer).size
@@ -217,6 +232,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_i
     counts = each.groupBy(F.col("x.seen").alias("id")).agg(F.sum("x.times").alias("n")).orderBy("id").collect()
     model = Frequencies(np.array([r.id for r in counts], np.int64), np.array([r.n for r in counts], np.int64), size)
     total = sum(r.n for r in counts)
+    known = np.nonzero(model.f)[0]
+    spark.createDataFrame([(int(i), int(model.f[i])) for i in known], "id int, f long").coalesce(1).write.parquet(f"{path}/model")
     sent = spark.sparkContext.broadcast(model)
 
     def blocks(batches: Batches) -> Batches:
@@ -242,13 +259,28 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_i
             yield done()
 
     parts = max(count_shuffles(spark), total // (8 * BLOCK_IDS) + 1)
-    dealt = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    return stored(dealt.mapInArrow(blocks, "part int, block int, first long, n_ids long, data binary"), "rans"), model
-
-
-def read_back(files: DataFrame, model: Frequencies, keep_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and, on demand, ids, decoded block by block."""
-    spark = files.sparkSession
+    # equal doc_ids (all null ones, say) are dealt by their first ids, so that they do not meet in one task
+    order = [F.col("doc_id").asc_nulls_first(), F.substring("ids", 1, 16)]
+    dealt = ids.repartitionByRange(parts, *order).sortWithinPartitions(order[0], "ids")
+    dealt.mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
+    removed(found)
+    done = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").agg(F.count(F.lit(1)), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
+    spark.createDataFrame([(MARK.decode("latin-1"), size, LANES, STEPS, model.bits, done[1], done[0])], MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+    return path
+
+
+BLOCKS = "part int, block int, first long, n_ids long, data binary"
+MANIFEST = "format string, vocabulary int, lanes int, steps int, bits int, n_ids long, n_blocks long"
+
+
+def read_back(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, on demand, ids, decoded block by block from a folder that write() has made."""
+    head = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").first()
+    if (head.format, head.lanes, head.steps) != (MARK.decode("latin-1"), LANES, STEPS):
+        raise ValueError(f"{path} is of another format: {head}")
+    table = spark.read.schema("id int, f long").parquet(f"{path}/model").collect()  # a row for each entry of the vocabulary at most
+    model = Frequencies.read(np.array([r.id for r in table], np.int64), np.array([r.f for r in table], np.int64), head.vocabulary, head.bits)
+    files = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     own = stored(files.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("in_group", F.floor(F.col("part") / GROUP_PARTS)), "totals")
     group, start = [], 0
     for r in own.groupBy("in_group").agg(F.sum("n").alias("n")).orderBy("in_group").collect():

@@ -51,7 +51,7 @@ def test_skewed_and_flat_models():
         assert int(m.f.sum()) == 1 << m.bits and (m.f[: len(counts)] > 0).all()
 
 
-def test_like_the_library(spark, monkeypatch):
+def test_like_the_library(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(rans, "BLOCK_IDS", 500)
     rng = random.Random(3)
     lib = Tokenizer.from_file(PATH)
@@ -59,7 +59,7 @@ def test_like_the_library(spark, monkeypatch):
     order = list(range(len(texts)))
     rng.shuffle(order)
     df = spark.createDataFrame([(i, texts[i], 1) for i in order], "doc_id long, text string, part int").repartition(5)
-    got = sorted(rans.read_back(*rans.write(df, PATH), keep_ids=True).collect(), key=lambda r: r.doc_id)
+    got = sorted(rans.read_back(spark, rans.write(df, PATH, f"file://{tmp_path}/a"), keep_ids=True).collect(), key=lambda r: r.doc_id)
     start = 0
     for i, r in enumerate(got):
         ids = [*lib.encode(texts[i] or "", add_special_tokens=False).ids, 2]
@@ -67,5 +67,32 @@ def test_like_the_library(spark, monkeypatch):
         assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
     odd = spark.createDataFrame([(None, "a"), (None, None), (1, "a"), (1, "a")], "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.start, r.n_tokens) for r in rans.read_back(*rans.write(odd, PATH)).collect()) == [(0, 0, 1), (0, 1, 2), (1, 3, 2), (1, 5, 2)]
-    assert rans.read_back(*rans.write(odd.limit(0), PATH)).count() == 0
+    assert sorted((r.doc_id or 0, r.start, r.n_tokens) for r in rans.read_back(spark, rans.write(odd, PATH, f"file://{tmp_path}/b")).collect()) == [(0, 0, 1), (0, 1, 2), (1, 3, 2), (1, 5, 2)]
+    assert rans.read_back(spark, rans.write(odd.limit(0), PATH, f"file://{tmp_path}/c")).count() == 0
+
+
+READER = """
+import sys
+from pyspark.sql import SparkSession
+from millrace.llm import rans
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[2]).getOrCreate()
+print("sum", rans.read_back(spark, sys.argv[1]).selectExpr("sum(n_tokens) + sum(ids_crc32)").first()[0])
+"""
+
+
+def test_another_process_reads_the_folder(spark, tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    df = spark.createDataFrame([(i, f"text {i} " * (i % 50)) for i in range(200)] + [(None, f"none {i}") for i in range(100)], "doc_id long, text string").repartition(3)
+    path = rans.write(df, PATH, f"file://{tmp_path}/out")
+    want = rans.read_back(spark, path).selectExpr("sum(n_tokens) + sum(ids_crc32)").first()[0]
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", READER, path, f"file://{tmp_path}/shared"], capture_output=True, text=True, timeout=300, env=os.environ | {"PYTHONPATH": repo}, check=True)
+    assert f"sum {want}" in out.stdout
+    blocks = spark.read.parquet(f"{path}/blocks")
+    assert spark.read.parquet(f"{path}/manifest").first().n_blocks == blocks.count()
+    spark.createDataFrame([(1, 5)], "id int, f long").write.mode("append").parquet(f"{path}/model")
+    with pytest.raises(ValueError):
+        rans.read_back(spark, path)
