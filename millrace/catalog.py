@@ -173,12 +173,12 @@ def minhash_documents(spark, sf_dir):
 
 
 @query("""
-SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score,
-  round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings""")
+SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score,
+  round(sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6) AS norm FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0""")
 def cosine_scan(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = F.broadcast(e.where("vec_id = 0").limit(1).select(F.col("embedding").alias("q")))
-    return e.crossJoin(q).select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("score"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+    norms = e.select(F.col("vec_id").alias("id"), F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+    return R.vector_scores(e, vec_queries(spark, sf_dir)).join(norms, "id").select("query_id", F.col("id").alias("vec_id"), "score", "norm")
 
 
 # ---- retrieval ----
@@ -225,7 +225,7 @@ def vec_queries(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {VEC_SQL} SELECT query_id, id, score, rank FROM vr WHERE rank <= 10")
 def vector_topk(spark, sf_dir):
-    return R.top(R.vector_scores(table(spark, sf_dir, "embeddings"), vec_queries(spark, sf_dir)), 10, "id").select("query_id", "id", "score", "rank")
+    return R.top(R.nearest(table(spark, sf_dir, "embeddings"), vec_queries(spark, sf_dir), 10), 10, "id").select("query_id", "id", "score", "rank")
 
 
 def ranked_lists(spark, sf_dir) -> list[DataFrame]:

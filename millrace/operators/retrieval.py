@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import search_tokens
-from millrace.functions.vectors import dot, norm
+from millrace.operators.vector_index import nearest, scores
 from millrace.work import written
 
 #: Rows up to which a query set is broadcast.
@@ -60,12 +60,8 @@ def top(ranked: DataFrame, k: int, *ties: str) -> DataFrame:
 
 
 def vector_scores(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, id, score (cosine; 0 for zero vectors or unequal lengths). A stated query set against all rows, in a broadcast."""
-    q = queries.select("query_id", F.col("embedding").alias("qv"), norm(F.col("embedding")).alias("qn"))
-    d = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), norm(F.col(vec_col)).alias("n"))
-    pair = d.crossJoin(small(q))
-    score = F.when((F.size("v") != F.size("qv")) | (F.col("n") * F.col("qn") == 0), F.lit(0.0)).otherwise(dot(F.col("v"), F.col("qv")) / (F.col("n") * F.col("qn")))
-    return pair.select("query_id", "id", F.round(score, 6).alias("score"))
+    """query_id, id, score (cosine; 0 for zero vectors or unequal lengths) of a stated query set with all rows, in blocks of queries."""
+    return scores(vectors, queries, id_col, vec_col)
 
 
 def with_ordinals(lists: list[DataFrame]) -> DataFrame:
@@ -123,7 +119,7 @@ def fuse(lists: list[DataFrame], strategy: str) -> DataFrame:
 
 def hybrid(docs: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, k: int = 10, strategy: str = "weighted", weights: list[float] | None = None) -> DataFrame:
     """Vector and BM25 lists of k, fused, deduplicated by id, cut to k."""
-    lists = [top(vector_scores(vectors, query_vectors), k, "id"), top(bm25(docs, queries), k, "id")]
+    lists = [top(nearest(vectors, query_vectors, k), k, "id"), top(bm25(docs, queries), k, "id")]
     fused = weighted(lists, weights) if strategy == "weighted" else fuse(lists, strategy)
     return top(fused, k, "ord")
 
