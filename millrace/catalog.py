@@ -46,7 +46,8 @@ def query(sql: str | None = None):
 
 def queries() -> dict[str, Query]:
     import millrace.catalog_more
-    import millrace.catalog_search  # noqa: F401, both register their queries here
+    import millrace.catalog_pages
+    import millrace.catalog_search  # noqa: F401, they register their queries here
 
     return dict(_QUERIES)
 

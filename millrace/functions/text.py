@@ -23,6 +23,20 @@ def strip(c: Column) -> Column:
     return sub(c, r"^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$")
 
 
+def char_grams(c: Column, k: int) -> Column:
+    """All runs of k characters in order, none for shorter texts. Runs are put together from halves, so the work grows with the text's length alone."""
+    chars = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    out, have, part, wide = None, 0, chars, 1
+    while wide <= k:
+        if k & wide:
+            out = part if out is None else F.zip_with(out, F.slice(part, have + 1, F.size(chars) + 1), lambda a, b: F.concat(a, b))
+            have += wide
+        if 2 * wide <= k:
+            part = F.zip_with(part, F.slice(part, wide + 1, F.size(chars) + 1), lambda a, b: F.concat(a, b))
+        wide *= 2
+    return F.array_compact(out)
+
+
 def join_lines(lines: Column) -> Column:
     return F.array_join(lines, "\n")
 

@@ -88,3 +88,45 @@ def without_running_lines(pages: DataFrame, threshold: float = 0.3, least: int =
     kept = lines.withColumn("k", key).join(often.select("doc", "k"), ["doc", "k"], "left_anti")
     whole = kept.groupBy("doc", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("kept"))
     return pages.select("doc", "page").distinct().join(whole, ["doc", "page"], "left").select("doc", "page", F.coalesce("kept", F.lit("")).alias("text"))
+
+
+# ---- tool calls and their results ----
+
+
+def pruned_results(messages: DataFrame, least: int = 200, placeholder: str = "[tool result truncated]") -> DataFrame:
+    """messages(session, ts, role, text, in_tail) with tool results of more than `least` characters, outside of the tail, replaced; pruned says
+    which."""
+    cut = (F.col("role") == "tool") & ~F.col("in_tail") & (F.length(F.coalesce("text", F.lit(""))) > least)
+    return messages.withColumn("pruned", F.coalesce(cut, F.lit(False))).withColumn("text", F.when(F.col("pruned"), placeholder).otherwise(F.col("text")))
+
+
+def repaired_pairs(messages: DataFrame, stub: str = "[tool result missing after compression]") -> DataFrame:
+    """messages(session, ts, role, text, calls array<string>, call_id) in which each tool result follows, with nothing but other results
+    between, a turn of the assistant that made its call. Other results go; calls without a result get a stub after those that are there.
+    Columns: those of messages and place."""
+    block = F.sum((F.col("role") != "tool").cast("int")).over(Window.partitionBy("session").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+    none = F.array().cast("array<string>")
+    made = F.when((F.col("role") == "assistant"), F.filter(F.coalesce("calls", none), lambda c: c.isNotNull() & (c != ""))).otherwise(none)
+    rows = messages.withColumn("_block", block).withColumn("_made", F.when(F.col("role") != "tool", made))
+    # the calls of the turn that opens a block, for all of it
+    rows = rows.withColumn("_made", F.first("_made", ignorenulls=True).over(Window.partitionBy("session", "_block").orderBy("ts")))
+    rows = rows.where((F.col("role") != "tool") | F.array_contains("_made", F.col("call_id")))
+    answered = rows.groupBy("session", "_block").agg(F.first("_made", ignorenulls=True).alias("made"), F.max("ts").alias("ts"), F.collect_set(F.when(F.col("role") == "tool", F.col("call_id"))).alias("seen"))
+    lost = answered.select("session", "_block", "ts", F.posexplode(F.array_except("made", "seen")).alias("_nth", "call_id"))
+    lost = lost.select("session", "_block", "ts", F.lit("tool").alias("role"), F.lit(stub).alias("text"), none.alias("calls"), "call_id", (F.col("_nth") + 1).alias("_nth"))
+    whole = rows.drop("_made").withColumn("_nth", F.lit(0)).unionByName(lost, allowMissingColumns=True)
+    place = F.row_number().over(Window.partitionBy("session").orderBy("_block", "ts", "_nth"))
+    return whole.withColumn("place", place).drop("_block", "_nth")
+
+
+def worth_compressing(before: DataFrame, after: DataFrame, least: float = 0.1) -> DataFrame:
+    """session, tokens_before, tokens_after, savings, kept: whether the shorter form (session, text) saves `least` of the tokens; else the
+    session keeps its turns, so that small gains do not make it change again and again."""
+
+    def tokens(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("session").agg(F.sum(F.floor(F.length(F.coalesce("text", F.lit(""))) / 4)).alias(name))
+
+    both = tokens(before, "tokens_before").join(tokens(after, "tokens_after"), "session", "left")
+    short = F.coalesce("tokens_after", F.lit(0))
+    savings = F.when(F.col("tokens_before") > 0, (F.col("tokens_before") - short) / F.col("tokens_before")).otherwise(0.0)
+    return both.select("session", "tokens_before", short.alias("tokens_after"), F.round(savings, 6).alias("savings"), (savings >= least).alias("kept"))
