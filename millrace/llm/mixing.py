@@ -9,7 +9,8 @@ source would pass its target. What is left then (less than that document) is fil
 it, again and again, and at last with the one document that brings the source nearest, until the target is met within `tolerance`.
 
 A decision depends on a row and its source's few rules alone, so texts are never shuffled: sizes are counted once, cutoffs are found on
-narrow rows by digits of the key (a table of sources by 8192 digits at each step), and a second pass takes the documents.
+narrow rows by digits of the key (a table of sources by 8192 digits at each step), and a second pass takes the documents. Tables of a row for
+each source are written, so Spark knows their size and broadcasts them only where they are small.
 
 Defined results: null text has no words; null is a source of its own, the last; documents without words are never taken; rows that agree
 in source, id and text draw the same number and share their fate; an empty table gives an empty mix. Reruns agree.
@@ -84,7 +85,7 @@ def taken_by(rules: Column, size: Column, key: Column) -> Column:
 
 def cutoffs(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     """name, last, used: for each source the largest key up to which the sizes of rows (name, size, key) add up to its budget at most."""
-    crossing = rows.join(F.broadcast(budgets.select("name", "budget", F.lit(0).cast("long").alias("before"))), "name")
+    crossing = rows.join(budgets.select("name", "budget", F.lit(0).cast("long").alias("before")), "name")
     whole, shift = None, KEY_BITS
     order = Window.partitionBy("name").orderBy("digit")
     for step in range(3):
@@ -96,7 +97,7 @@ def cutoffs(rows: DataFrame, budgets: DataFrame) -> DataFrame:
         if whole is None:
             whole = found.where("digit is null").select("name", F.lit(EDGE).alias("last"), "used")
         if step < 2:
-            edge = F.broadcast(found.where("digit is not null").select("name", "budget", F.col("used").alias("before"), "digit"))
+            edge = found.where("digit is not null").select("name", "budget", F.col("used").alias("before"), "digit")
             crossing = rows.withColumn("digit", F.shiftright("key", shift)).join(edge, ["name", "digit"]).drop("digit")
             low = found.select("name", (F.shiftleft(F.coalesce("digit", F.lit(0)), shift) - 1).alias("low"))
     return whole.union(found.join(low, "name").select("name", F.coalesce("fit", "low").alias("last"), "used"))
@@ -109,7 +110,7 @@ def planned(rows: DataFrame, weights: tuple[float, ...], total: float, cap: floa
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())) - 1  # one row for a source
     sizes = sizes.withColumns({"share": F.element_at(F.array(*map(F.lit, map(float, weights))), F.pmod(place, F.lit(len(weights))) + 1), "cap": F.col("source_size") * F.lit(float(cap)), "total": F.sum("source_size").over(Window.partitionBy(F.lit(0))) * F.lit(float(total))})
     sources = stored(waterfill(sizes.withColumn("one", F.lit(1)), ["one"], "share", "cap", "total").select("name", "source", "source_size", F.col("amount").alias("target")), "sources")
-    shares = groups.where("words > 0").join(F.broadcast(sources), "name").select("name", "preference", "words", "target", (F.col("words") * F.col("preference").cast("double")).alias("share"), (F.col("words") * F.lit(float(cap))).alias("cap"))
+    shares = groups.where("words > 0").join(sources, "name").select("name", "preference", "words", "target", (F.col("words") * F.col("preference").cast("double")).alias("share"), (F.col("words") * F.lit(float(cap))).alias("cap"))
     copies = F.col("amount") / F.col("words")
     near = F.abs(copies - F.round(copies)) < 1e-9
     classes = waterfill(shares, ["name"], "share", "cap", "target").withColumns({"whole": F.when(near, F.round(copies)).otherwise(F.floor(copies)).cast("int"), "fraction": F.when(near, 0.0).otherwise(copies - F.floor(copies))})
@@ -123,19 +124,19 @@ def planned(rows: DataFrame, weights: tuple[float, ...], total: float, cap: floa
     while True:
         # the sources that are still short, and what may fill them
         short = state.where(F.col("left") > F.col("target") * tolerance)
-        free = able.join(F.broadcast(short.select("name", F.col("left").alias("budget"), "rules", most.alias("most"))), "name").where(F.col("size") <= F.col("most")).where(~taken_by(F.col("rules"), F.col("size"), F.col("key")))
+        free = able.join(short.select("name", F.col("left").alias("budget"), "rules", most.alias("most")), "name").where(F.col("size") <= F.col("most")).where(~taken_by(F.col("rules"), F.col("size"), F.col("key")))
         cuts = stored(cutoffs(free.select("name", "size", "key"), short.select("name", F.col("left").alias("budget"))), "cuts")
         if not cuts.where("used > 0").take(1):
             break
         rule = F.struct(F.lit(0).cast("long").alias("least"), most.cast("long").alias("most"), F.lit(-1).cast("long").alias("after"), F.col("last").cast("long").alias("last"))
-        found = state.join(F.broadcast(cuts), "name", "left")
+        found = state.join(cuts, "name", "left")
         state = stored(found.select("name", "target", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"), F.when(F.col("used") > 0, F.concat("rules", F.array(rule))).otherwise(F.col("rules")).alias("rules")), "state")
         most = F.floor(F.col("left") / 2)
     # the one document that brings a source nearest, if that is nearer than without it
-    free = able.join(F.broadcast(short.select("name", "left", "rules")), "name").where(F.col("size") < 2 * F.col("left")).where(~taken_by(F.col("rules"), F.col("size"), F.col("key")))
+    free = able.join(short.select("name", "left", "rules"), "name").where(F.col("size") < 2 * F.col("left")).where(~taken_by(F.col("rules"), F.col("size"), F.col("key")))
     ones = free.groupBy("name", "left", "size", "key").agg(F.sum("size").alias("n")).where("n < 2 * left")
     last = ones.groupBy("name").agg(F.min(F.struct(F.abs(F.col("n") - F.col("left")), "key", "size")).alias("x")).select("name", F.struct(F.col("x.size").alias("least"), F.col("x.size").alias("most"), (F.col("x.key") - 1).alias("after"), F.col("x.key").alias("last")).alias("rule"))
-    rules = state.join(F.broadcast(last), "name", "left").select("name", F.when(F.col("rule").isNotNull(), F.concat("rules", F.array("rule"))).otherwise(F.col("rules")).alias("rules"))
+    rules = state.join(last, "name", "left").select("name", F.when(F.col("rule").isNotNull(), F.concat("rules", F.array("rule"))).otherwise(F.col("rules")).alias("rules"))
     return Plan(rows, sources, classes, stored(rules, "rules"))
 
 
