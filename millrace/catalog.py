@@ -289,10 +289,14 @@ def acl_filter(spark, sf_dir):
     return R.acl_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")).select("doc_id")
 
 
-@query()
+#: Documents with ids in front, which their own texts do not hold.
+WITH_IDS = "concat('see AB-', doc_id % 50 + 10, ' and XY', doc_id % 7 + 10, ', AB-', doc_id % 50 + 10, ' xAB-77 ', coalesce(text, ''))"
+
+
+@query(rf"SELECT DISTINCT doc_id, unnest(regexp_extract_all({WITH_IDS}, '\b([A-Z]{{2,6}}-[0-9]{{2,6}}|[A-Z]{{2,6}}[0-9]{{2,6}})\b', 1)) AS entity FROM documents")
 def entity_edges(spark, sf_dir):
     """doc_id, entity: up to 20 of a document, in order of appearance."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(G.entities(F.coalesce("text", F.lit("")))).alias("entity"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(G.entities(F.expr(WITH_IDS))).alias("entity"))
 
 
 @query(f"SELECT event_id, CASE WHEN epoch_us({NOW}) < epoch_us(ts) THEN 1.0 ELSE round(pow(0.5, (epoch_us({NOW}) - epoch_us(ts)) / 86400000000.0 / 90), 4) END::DOUBLE AS decay FROM events")
@@ -416,9 +420,9 @@ def join_inner(spark, sf_dir):
     return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 250000)")
 def orphan_anti(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_totalprice > 250000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.catalog import EDGES_SQL, ORDERED, key_edges, messages, query, spread, table
+from millrace.catalog import EDGES_SQL, ORDERED, WITH_IDS, key_edges, messages, query, spread, table
 from millrace.functions import records as N
 from millrace.functions import text as T
 from millrace.functions import vectors as V
@@ -596,7 +596,7 @@ def jaccard_turns(spark, sf_dir):
 @query()
 def greedy_dedupe(spark, sf_dir):
     """Paragraphs of the documents without near copies of an earlier one of the same document."""
-    return X.greedy_signatures(C.paragraphs(table(spark, sf_dir, "benchmark").selectExpr("item_id AS doc_id", "text"))).select("doc_id", "place")
+    return X.greedy_signatures(C.paragraphs(spread(table(spark, sf_dir, "documents")))).select("doc_id", "place")
 
 
 @query("SELECT doc_id, substr(md5(lower(trim(coalesce(text, ''), ' ' || chr(10) || chr(9) || chr(13)))[:100]), 1, 12) AS print FROM documents")
@@ -612,9 +612,9 @@ def lineage_dedupe(spark, sf_dir):
     return G.lineage_dedupe(hits, p, 7).select("root", "session")
 
 
-@query(r"""WITH e AS (SELECT doc_id, list_distinct(regexp_extract_all(coalesce(text, ''), '\b([A-Z]{2,6}-[0-9]{2,6}|[A-Z]{2,6}[0-9]{2,6})\b')) AS es FROM documents) SELECT doc_id AS src, CAST(least(20, len(es)) AS BIGINT) AS n FROM e WHERE len(es) > 0""")
+@query(r"""WITH e AS (SELECT doc_id, list_distinct(regexp_extract_all(concat('see AB-', doc_id % 50 + 10, ' and XY', doc_id % 7 + 10, ', AB-', doc_id % 50 + 10, ' xAB-77 ', coalesce(text, '')), '\b([A-Z]{2,6}-[0-9]{2,6}|[A-Z]{2,6}[0-9]{2,6})\b')) AS es FROM documents) SELECT doc_id AS src, CAST(least(20, len(es)) AS BIGINT) AS n FROM e WHERE len(es) > 0""")
 def mention_counts(spark, sf_dir):
-    return G.mentions(table(spark, sf_dir, "documents")).groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    return G.mentions(table(spark, sf_dir, "documents").withColumn("text", F.expr(WITH_IDS))).groupBy("src").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH RECURSIVE {EDGES_SQL}, k AS (SELECT 'r0' AS node, 0 AS hops UNION SELECT e.dst, k.hops + 1 FROM k JOIN e ON e.src = k.node WHERE k.hops < 2) SELECT DISTINCT src, dst FROM e0 WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)")
