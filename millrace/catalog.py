@@ -289,13 +289,19 @@ def acl_filter(spark, sf_dir):
     return R.acl_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")).select("doc_id")
 
 
+@query()
+def entity_edges(spark, sf_dir):
+    """doc_id, entity: up to 20 of a document, in order of appearance."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(G.entities(F.coalesce("text", F.lit("")))).alias("entity"))
+
+
 #: Documents with ids in front, which their own texts do not hold.
 WITH_IDS = "concat('see AB-', doc_id % 50 + 10, ' and XY', doc_id % 7 + 10, ', AB-', doc_id % 50 + 10, ' xAB-77 ', coalesce(text, ''))"
 
 
 @query(rf"SELECT DISTINCT doc_id, unnest(regexp_extract_all({WITH_IDS}, '\b([A-Z]{{2,6}}-[0-9]{{2,6}}|[A-Z]{{2,6}}[0-9]{{2,6}})\b', 1)) AS entity FROM documents")
-def entity_edges(spark, sf_dir):
-    """doc_id, entity: up to 20 of a document, in order of appearance."""
+def entity_ids(spark, sf_dir):
+    """The same over texts that have ids in front."""
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(G.entities(F.expr(WITH_IDS))).alias("entity"))
 
 
