@@ -39,17 +39,26 @@ def cron_downrank(score: Column, source: Column, factor: float = 0.35) -> Column
     return F.when(source.isin("cron", "subagent", "tool"), score * factor).otherwise(score)
 
 
-def user_fallback(messages: DataFrame, query: str, limit: int, session: str | None = None) -> DataFrame:
+def user_fallback(messages: DataFrame, query: str, limit: int, session: str | None = None, each: bool = False) -> DataFrame:
     """What stands in when a search found no user turn: of the latest min(300, 40 * limit) messages (message_id, session_id, role, content,
     ts) of any role, of one session or of all, those of the user that hold a word of the query (two characters or more, case counts):
-    most words first, then the earliest, `limit` at most. A query without such words gives the latest user turns."""
+    most words first, then the earliest, `limit` at most. A query without such words gives the latest user turns. each: the search
+    stays within a session and is made in every session."""
     rows = messages if session is None else messages.where(F.col("session_id") == session)
-    recent = rows.orderBy(F.desc("ts"), F.desc("message_id")).limit(min(300, 40 * limit)).where("role = 'user'")
+    by = Window.partitionBy("session_id")
+
+    def first(df: DataFrame, n: int, *order) -> DataFrame:
+        if not each:
+            return df.orderBy(*order).limit(n)
+        return df.withColumn("_n", F.row_number().over(by.orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+    latest = (F.desc("ts"), F.desc("message_id"))
+    recent = first(rows, min(300, 40 * limit), *latest).where("role = 'user'")
     terms = [t for t in query.split() if len(t) >= 2]
     if not terms:
-        return recent.withColumn("hits", F.lit(0)).orderBy(F.desc("ts"), F.desc("message_id")).limit(limit)
+        return first(recent.withColumn("hits", F.lit(0)), limit, *latest)
     hits = sum((F.contains(F.coalesce("content", F.lit("")), F.lit(t)).cast("int") for t in terms), F.lit(0))
-    return recent.withColumn("hits", hits).where("hits > 0").orderBy(F.desc("hits"), "ts", F.desc("message_id")).limit(limit)
+    return first(recent.withColumn("hits", hits).where("hits > 0"), limit, F.desc("hits"), "ts", F.desc("message_id"))
 
 
 def fingerprint(text: Column, chars: int = 100) -> Column:

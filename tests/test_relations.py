@@ -130,3 +130,14 @@ def test_tags_are_stripped_and_long_stems_left_out(spark):
     df = spark.createDataFrame([(" a ; b|| a", "/x/" + "n" * 65 + ".txt"), (None, "/x/ok.txt")], "tags string, p string")
     tags, _ = R.rule_tags(F.lit("text"), [("r", ["text"], "any", [" t "])], R.listed_tags(F.col("tags")), F.col("p"))
     assert [r[0] for r in df.select(tags).collect()] == [["a", "b", "t"], ["t", "file:ok"]]
+
+
+def test_user_fallback_in_each_session(spark):
+    from millrace.operators.evidence import user_fallback
+
+    rows = [(i, f"s{i % 40}", "user" if i % 3 else "assistant", f"word {'Alpha' if i % 4 == 0 else ''} {'beta' if i % 8 == 0 else ''}", i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "message_id int, session_id string, role string, content string, ts int")
+    for q in ("Alpha beta", "x"):
+        got = sorted(r.message_id for r in user_fallback(df, q, 2, each=True).collect())
+        assert got == sorted(r.message_id for s in range(40) for r in user_fallback(df.where(f"session_id = 's{s}'"), q, 2).collect())
+        assert len(got) > 2
