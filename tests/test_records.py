@@ -115,3 +115,18 @@ def test_duplicate_lines(spark):
 def test_contexts(spark):
     df = spark.createDataFrame([("1. What is it?", "What is it, then"), ("", "x"), ("abc", "abd"), ("The long passage of some words here", "xx the Long passage"), ("q", "q")], "a string, b string")
     assert [r.m for r in df.select(N.contexts_match(F.col("a"), F.col("b")).alias("m")).collect()] == [True, False, False, False, True]
+
+
+def test_line_dedupe_like_sql(spark, tmp_path):
+    """Repeated quotes within a line stay, as in the SQL."""
+    import __spark_entry__ as E
+    import duckdb
+
+    said = 'she said that it was "so"'
+    rows = [(0, said + said + "\nx"), (1, f"{said}\n{said}"), (2, None), (3, "no mark at all, no mark at all")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in E.queries()["line_dedupe"](spark, str(tmp_path)).collect())
+    assert got == sorted(db.execute(E.oracle_sql()["line_dedupe"]).fetchall())
+    assert run(spark, [said + said], T.duplicate_lines) == [said]
