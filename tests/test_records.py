@@ -130,3 +130,13 @@ def test_line_dedupe_like_sql(spark, tmp_path):
     got = sorted(tuple(r) for r in E.queries()["line_dedupe"](spark, str(tmp_path)).collect())
     assert got == sorted(db.execute(E.oracle_sql()["line_dedupe"]).fetchall())
     assert run(spark, [said + said], T.duplicate_lines) == [said]
+
+
+def test_lambdas_use_values_that_are_worked_out_once(spark):
+    """A parse or a key inside a lambda is repeated for each element, which takes quadratic time."""
+    plan = lambda c: spark.range(1).select(F.col("id").cast("string").alias("c")).select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(N.json_rows(F.col("c"))).count("from_json") == 1
+    assert plan(N.metadata(F.create_map(F.col("c"), F.lit("v")))).count("translate(") == 1
+    many = "[" + ",".join(f'{{"a": {i}, "b{i % 3}": null}}' for i in range(2000)) + "]"
+    got = spark.createDataFrame([(many,), ("[1]",), (None,)], "c string").select(N.json_rows(F.col("c")).alias("x")).collect()
+    assert got[0].x == [["a", "b0", "b1", "b2"]] + [[str(i), "", "", ""] for i in range(2000)] and got[1].x == [] and got[2].x == []
