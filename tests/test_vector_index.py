@@ -67,3 +67,14 @@ def test_clusters_are_left_out(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(index, "_scan", lambda rows, ids, asked, k, needed: read.append(needed.sum()) or plain(rows, ids, asked, k, needed))
     q = spark.createDataFrame([(0, clustered(1, 4)[0][1])], "query_id long, embedding array<double>")
     assert index.search(q, 5).count() == 5 and sum(read) < 8
+
+
+def test_pairs_keep_a_column_without_a_join(spark, tmp_path):
+    import __spark_entry__ as E
+
+    df = E.queries()["cosine_scan"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange hashpartitioning" not in plan
+    assert df.where("norm is not null").count() == df.count() > 0
+    plan = E.queries()["approx_distinct"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("approx_count_distinct" in line and "count(distinct" in line for line in plan.split("\n")), plan
