@@ -129,3 +129,14 @@ def test_tool_pairs(spark):
     short = S.pruned_results(m)
     assert [r.pruned for r in short.orderBy("session", "ts").collect()] == [True, False, False, False]
     assert {r.session: (r.tokens_before, r.kept) for r in S.worth_compressing(m, short).collect()} == {"s": (225, True), "t": (1, False)}
+
+
+def test_texts_do_not_travel_with_their_grams(spark, tmp_path, monkeypatch):
+    """Lines and chunks that begin alike for 12 characters but are other passages are no candidates; texts are looked at for candidates alone."""
+    sizes, plain = {}, E.written
+    monkeypatch.setattr(E, "written", lambda df, name: [out := plain(df, name), sizes.setdefault(name, []).append((out.columns, out.count()))][0])
+    lines = [(i, None, f"thesamebegin{i:03d}{'xyzuvw'[i % 6] * 20}") for i in range(40)]
+    chunks = [(i, i, None, f"thesamebegin{i + 500:03d}{'abcdef'[i % 6] * 20}") for i in range(40)] + [(99, 99, None, "before it " + lines[7][2] + " after it")]
+    ldf, cdf = spark.createDataFrame(lines, "line_id int, number int, text string"), spark.createDataFrame(chunks, "chunk_id int, ord int, number int, text string")
+    assert [tuple(r) for r in E.best_chunks(ldf, cdf).collect()] == [(7, 99)]
+    assert sizes["pairs"] == [(["line_id", "chunk_id"], 1)]
