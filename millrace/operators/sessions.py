@@ -109,14 +109,19 @@ def repaired_pairs(messages: DataFrame, stub: str = "[tool result missing after
     made = F.when((F.col("role") == "assistant"), F.filter(F.coalesce("calls", none), lambda c: c.isNotNull() & (c != ""))).otherwise(none)
     rows = messages.withColumn("_block", block).withColumn("_made", F.when(F.col("role") != "tool", made))
     # the calls of the turn that opens a block, for all of it
-    rows = rows.withColumn("_made", F.first("_made", ignorenulls=True).over(Window.partitionBy("session", "_block").orderBy("ts")))
+    by_ts = Window.partitionBy("session", "_block").orderBy("ts")
+    rows = rows.withColumn("_made", F.first("_made", ignorenulls=True).over(by_ts))
     rows = rows.where((F.col("role") != "tool") | F.array_contains("_made", F.col("call_id")))
-    answered = rows.groupBy("session", "_block").agg(F.first("_made", ignorenulls=True).alias("made"), F.max("ts").alias("ts"), F.collect_set(F.when(F.col("role") == "tool", F.col("call_id"))).alias("seen"))
-    lost = answered.select("session", "_block", "ts", F.posexplode(F.array_except("made", "seen")).alias("_nth", "call_id"))
-    lost = lost.select("session", "_block", "ts", F.lit("tool").alias("role"), F.lit(stub).alias("text"), none.alias("calls"), "call_id", (F.col("_nth") + 1).alias("_nth"))
-    whole = rows.drop("_made").withColumn("_nth", F.lit(0)).unionByName(lost, allowMissingColumns=True)
+    # a block's last row brings the stubs
+    seen = F.collect_set(F.when(F.col("role") == "tool", F.col("call_id"))).over(by_ts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumns({"_seen": seen, "_last": F.lead(F.lit(1)).over(by_ts).isNull()})
+    lost = F.when(F.col("_last"), F.coalesce(F.array_except("_made", "_seen"), none)).otherwise(none)
+    whole = rows.select(*messages.columns, "_block", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), lost)).alias("_nth", "_lost"))
+    fixed = {"role": F.lit("tool"), "text": F.lit(stub), "calls": none, "call_id": F.col("_lost")}
     place = F.row_number().over(Window.partitionBy("session").orderBy("_block", "ts", "_nth"))
-    return whole.withColumn("place", place).drop("_block", "_nth")
+    whole = whole.withColumn("place", place)
+    own = [F.col(c) if c in ("session", "ts") else F.when(F.col("_nth") == 0, F.col(c)).otherwise(fixed.get(c, F.lit(None))).alias(c) for c in messages.columns]
+    return whole.select(*own, "place")
 
 
 def worth_compressing(before: DataFrame, after: DataFrame, least: float = 0.1) -> DataFrame:

@@ -4,8 +4,11 @@ import math
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from millrace import work
+from millrace.catalog import queries
 from millrace.functions.records import contexts_match
 from millrace.operators import evaluation as E
 from millrace.operators import page_tables as P
@@ -140,3 +143,17 @@ def test_texts_do_not_travel_with_their_grams(spark, tmp_path, monkeypatch):
     ldf, cdf = spark.createDataFrame(lines, "line_id int, number int, text string"), spark.createDataFrame(chunks, "chunk_id int, ord int, number int, text string")
     assert [tuple(r) for r in E.best_chunks(ldf, cdf).collect()] == [(7, 99)]
     assert sizes["pairs"] == [(["line_id", "chunk_id"], 1)]
+
+
+@pytest.mark.parametrize("name", ["tool_pairs", "page_tables"])
+def test_order_lines_go_to_tasks_of_bounded_size(spark, monkeypatch, tmp_path, name):
+    """Tasks hold about TASK_ROWS lines, however small these are when packed; where they are cut changes nothing."""
+    rng = random.Random(2)
+    rows = [(rng.randrange(300), rng.randrange(60), rng.randrange(20), rng.randrange(1, 6), rng.choice("AB")) for _ in range(2000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = queries()[name]
+    whole = sorted(map(str, run(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(work, "TASK_ROWS", 100)
+    out = run(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == 20
+    assert sorted(map(str, out.collect())) == whole and whole
