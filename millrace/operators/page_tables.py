@@ -31,25 +31,28 @@ def merged_tables(regions: DataFrame, table_label: str = "table", dropped: list[
     """regions(doc, page, idx, label, html) with the table that ends a page and the one of the same header that begins the next page as one, on
     the former page (merged). A page's only region cannot do both, so of a row of such pages every second break is closed: breaks that
     share a region form a run, and those of even place in it hold. Dropped kinds go, but for documents of one page, which stay as they are.
-    Breaks are found on one row for each page;
+    All is found in one order of the regions: what stands before a page's first region is the last one of the page before;
     a page number that is missing is an empty page."""
     rows = regions.withColumn("html", F.regexp_replace(F.coalesce("html", F.lit("")), r"^\s+|\s+$", ""))
-    place = Window.partitionBy("doc", "page").orderBy("idx")
-    n = F.count(F.lit(1)).over(Window.partitionBy("doc", "page"))
-    rows = rows.withColumns({"_first": F.row_number().over(place) == 1, "_n": n}).withColumn("_last", F.row_number().over(place) == F.col("_n"))
-    signature = F.when(F.col("label") == table_label, header_signature(F.col("html")))
-    pages = rows.groupBy("doc", "page").agg(F.max(F.when(F.col("_first"), signature)).alias("top"), F.max(F.when(F.col("_last"), signature)).alias("end"), F.max("_n").alias("n"), F.max(F.when(F.col("_first"), F.col("html"))).alias("top_html"))
-    by_page = Window.partitionBy("doc").orderBy("page")
-    pages = pages.withColumns({"_open": F.coalesce((F.lag("end").over(by_page) == F.col("top")) & (F.lag("page").over(by_page) + 1 == F.col("page")), F.lit(False)), "_pages": F.count(F.lit(1)).over(Window.partitionBy("doc")), "_alone": F.lag("n").over(by_page) == 1})
+    by_place = Window.partitionBy("doc").orderBy("page", "idx")
+    so_far = by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def flag(c: Column) -> Column:
+        return F.coalesce(c, F.lit(False))
+
+    rows = rows.withColumn("_signature", F.when(F.col("label") == table_label, header_signature(F.col("html"))))
+    at = F.struct("page")
+    rows = rows.withColumns({"_first": ~flag(F.lag(at).over(by_place) == at), "_last": ~flag(F.lead(at).over(by_place) == at)})
+    follows = (F.lag("_signature").over(by_place) == F.col("_signature")) & (F.lag("page").over(by_place) + 1 == F.col("page"))
+    rows = rows.withColumn("_open", F.col("_first") & flag(follows))
     # a break belongs to the run of the one before it if both share the only region of the page between them
-    starts = F.col("_open") & ~(F.coalesce(F.lag("_open").over(by_page), F.lit(False)) & F.col("_alone"))
-    pages = pages.withColumn("_run", F.sum(starts.cast("int")).over(by_page))
-    in_run = F.row_number().over(Window.partitionBy("doc", "_run", "_open").orderBy("page"))
-    pages = pages.withColumn("_closed", F.col("_open") & (in_run % 2 == 1))
-    after = F.lead(F.when(F.col("_closed"), F.col("top_html"))).over(by_page)
-    pages = pages.select("doc", "page", "_closed", "_pages", after.alias("_more"))
-    rows = rows.join(pages, ["doc", "page"])
-    takes = F.col("_last") & F.col("_more").isNotNull() & ~(F.col("_first") & F.col("_closed"))
-    rows = rows.where(~(F.col("_closed") & F.col("_first"))).withColumn("merged", takes)
+    rows = rows.withColumn("_starts", F.col("_open") & ~flag(F.lag(F.col("_open") & F.col("_last")).over(by_place)))
+    rows = rows.withColumns({"_breaks": F.sum(F.col("_open").cast("int")).over(so_far), "_pages": F.sum(F.col("_first").cast("int")).over(by_place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    in_run = F.col("_breaks") - F.max(F.when(F.col("_starts"), F.col("_breaks"))).over(so_far)
+    rows = rows.withColumn("_closed", F.col("_open") & (in_run % 2 == 0))
+    rows = rows.withColumn("_more", F.when(F.col("_last"), F.lead(F.when(F.col("_closed"), F.col("html"))).over(by_place)))
+    rows = rows.where("doc is not null and page is not null")
+    takes = F.col("_last") & F.col("_more").isNotNull() & ~F.col("_closed")
+    rows = rows.where(~F.col("_closed")).withColumn("merged", takes)
     rows = rows.withColumn("html", F.when(takes, joined_tables(F.col("html"), F.col("_more"))).otherwise(F.col("html")))
     return rows.where((F.col("_pages") == 1) | ~F.col("label").isin(dropped)).select(*regions.columns, "merged")
