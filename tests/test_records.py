@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.functions import records as N
@@ -140,3 +141,16 @@ def test_lambdas_use_values_that_are_worked_out_once(spark):
     many = "[" + ",".join(f'{{"a": {i}, "b{i % 3}": null}}' for i in range(2000)) + "]"
     got = spark.createDataFrame([(many,), ("[1]",), (None,)], "c string").select(N.json_rows(F.col("c")).alias("x")).collect()
     assert got[0].x == [["a", "b0", "b1", "b2"]] + [[str(i), "", "", ""] for i in range(2000)] and got[1].x == [] and got[2].x == []
+
+
+def test_nfkc_sends_texts_in_pieces_and_no_plain_ones(spark, monkeypatch):
+    """Texts go back a piece at a time, not as a whole Arrow batch; those of ASCII alone are not sent."""
+    monkeypatch.setattr(N, "TEXTS", 3)
+    rows = [None, "", "plain  text", "ﬁne １２", "é", "　x y"] * 5
+    sizes = [len(b) for b in N.nfkc.func(iter([pa.array(rows, pa.string())]))]
+    assert sizes == [3] * 10
+    got = [b for x in N.nfkc.func(iter([pa.array(rows, pa.string())])) for b in x.to_pylist()]
+    assert got == [None if x is None else unicodedata.normalize("NFKC", x) for x in rows]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    found = [r.t for r in df.select("i", N.clean_text(F.col("t")).alias("t")).orderBy("i").collect()]
+    assert found == [" ".join(unicodedata.normalize("NFKC", x or "").split()) for x in rows]
